@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language_id, mixing, sharding
+from . import decontaminate, jaccard, language_id, mixing, pii, quality_rules, repair_ids, sharding
 
 QUERIES = {
+    "op1_repair_ids": repair_ids.op1,
     "op2_sampled_splitters": sharding.op2,
     "op4_benchmark_decontamination": decontaminate.op4,
     "op5_ngram_jaccard_join": jaccard.op5,
+    "op6_contextual_pii": pii.op6,
+    "op7_quality_rules": quality_rules.op7,
     "op8_language_id": language_id.op8,
     "op10_mixing": mixing.op10,
     "pipeline": corpus_pipeline.run,
