@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, language_id, mixing, pii, quality_rules, repair_ids, sharding
+from . import decontaminate, jaccard, language_id, mixing, pii, quality_rules, repair_ids, sharding, suffix_dedup
 
 QUERIES = {
     "op1_repair_ids": repair_ids.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_contextual_pii": pii.op6,
     "op7_quality_rules": quality_rules.op7,
     "op8_language_id": language_id.op8,
+    "op9_suffix_dedup": suffix_dedup.op9,
     "op10_mixing": mixing.op10,
     "pipeline": corpus_pipeline.run,
 }
