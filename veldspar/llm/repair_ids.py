@@ -27,6 +27,7 @@ the order of their text hash; an empty table writes no shard and reads no row; e
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -51,7 +52,9 @@ FREQUENT = 24
 RULES = 4096
 CELLS = 1 << 20
 #: Pieces whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Pieces given to the library at a time: its results are large objects.
+LEARNED = 4_000
 #: Texts that can't be cut at single spaces: runs of white space, a NUL, or what may be a special token.
 UNCUT = regex.compile(r"\s{2}|\x00|<\|")
 
@@ -62,20 +65,34 @@ class Encoder:
     """The tokenizer's ids of whole texts.
 
     Its pre-tokenizer never joins what a single space or line break between two other characters parts, so texts are cut
-    there and every distinct piece is encoded by the library once. Texts with other white space go to it whole.
+    there and every distinct piece is encoded by the library once in a while. Texts with other white space go to it whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        n = self.tokenizer.get_vocab_size()
+        self.starts = np.fromiter(((self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(n)), bool, n)
         self.known: dict[str, list[int]] = {}
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        for p, e in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[p] = e.ids
+        """Pieces that start with a space go in a row: the library parts them there, and only their first ids start with one."""
+        row = [p for p in pieces if len(p) > 1 and p[0] == " "]
+        for k in range(0, len(row), LEARNED):
+            some = row[k : k + LEARNED]
+            ids = np.array(self._encode(["".join(some)])[0], np.int64)
+            first = np.flatnonzero(self.starts[ids])
+            parts = [x.tolist() for x in np.split(ids, first[1:])] if len(first) == len(some) else self._encode(some)
+            self.known.update(zip(some, parts, strict=True))
+        rest = [p for p in pieces if len(p) < 2 or p[0] != " "]
+        for k in range(0, len(rest), LEARNED):
+            some = rest[k : k + LEARNED]
+            self.known.update(zip(some, self._encode(some), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [None if UNCUT.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
