@@ -193,6 +193,7 @@ def _finder(shared):
 
 def matched(docs: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> Column:
     """A struct column over ``docs``: n_words, spans (flat word positions start, end, start, end) and items."""
+    common.bounded_batches(docs.sparkSession)
     found: Column = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for items in blocks(bench, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, window))

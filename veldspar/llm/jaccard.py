@@ -45,7 +45,7 @@ SHORT = 60
 SALTS = 16
 FILTER_BITS = 1 << 26
 M = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,21 +99,39 @@ def set_id(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64)) if len(tokens) else 0
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens of each of 2**k buckets, at most two in the mean: two sketches bound an intersection from above."""
+    cells = 1 << max(3, (len(tokens) - 1).bit_length() - 1)
+    return np.minimum(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def at_most(x: bytes, y: bytes) -> int:
+    """A number that the intersection of the sketched sets does not exceed."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if (a.max(initial=0) | b.max(initial=0)) == 255:  # a count may be cut: no bound
+        return 1 << 62
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    n = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum())
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(CLASSES, np.int64)
     seen: set[int] = set()
     for batch in batches:
-        n, sid = [], []
+        n, sid, sketches = [], [], []
         for tokens in shingle_sets(batch["text"].tolist()):
             n.append(len(tokens))
             sid.append(set_id(tokens))
-            if sid[-1] not in seen:  # copies within a task count once
+            sketches.append(None)
+            if sid[-1] not in seen and len(tokens):  # copies within a task count once
                 seen.add(sid[-1])
+                sketches[-1] = sketch(tokens)
                 np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), 1)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "sid": sid, "chunk": None, "counts": None})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "sid": sid, "sketch": sketches, "chunk": None, "counts": None})
     if counts.any():
         parts = np.minimum(counts, 2**31 - 1).astype("<i4").reshape(CHUNKS, -1)
-        yield pd.DataFrame({"doc_id": pd.Series([None] * CHUNKS, dtype="Int64"), "text_hash": 0, "n": -1, "sid": None, "chunk": range(CHUNKS), "counts": [p.tobytes() for p in parts]})
+        yield pd.DataFrame({"doc_id": pd.Series([None] * CHUNKS, dtype="Int64"), "text_hash": 0, "n": -1, "sid": None, "sketch": None, "chunk": range(CHUNKS), "counts": [p.tobytes() for p in parts]})
 
 
 def _sum_counts(group: pd.DataFrame) -> pd.DataFrame:
@@ -251,9 +269,20 @@ def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b) of set ids that link."""
-    p = pairs.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
+def _may_link(n: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([DEN * both >= NUM * (i + j - both) for i, j, both in zip(n, m, map(at_most, a, b), strict=True)], dtype=bool)
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b) of set ids that link: sketches refuse most others, the sets themselves decide."""
+    side = lambda x: sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    maybe = pairs.join(side("a"), "a").join(side("b"), "b").where(F.pandas_udf(_may_link, "boolean")("na", "nb", "sa", "sb")).select("a", "b")
+    maybe = common.stored(maybe, f"{name}-maybe")
+    wanted = common.stored(maybe.select(F.col("a").alias("sid")).union(maybe.select("b")).distinct(), f"{name}-wanted")
+    bits = pairs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    sets = texts.mapInPandas(_setter(bits), "sid long, tokens binary").join(wanted, "sid", "left_semi")
+    sets = common.stored(sets, f"{name}-sets").dropDuplicates(["sid"])
+    p = maybe.join(sets.select(F.col("sid").alias("a"), F.col("tokens").alias("ta")), "a")
     p = p.join(sets.select(F.col("sid").alias("b"), F.col("tokens").alias("tb")), "b")
     return common.stored(p.where(F.pandas_udf(_linked, "boolean")("ta", "tb")).select("a", "b"), name)
 
@@ -269,10 +298,11 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n, sid) of every row, and (node, root) of the set ids that have links."""
+    common.bounded_batches(docs.sparkSession)
     t = docs[text].cast("string")
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
     texts = rows.select("text").where("text IS NOT NULL")
-    told = common.stored(rows.mapInPandas(_describe, "doc_id long, text_hash long, n int, sid long, chunk int, counts binary"), "shingle-counts")
+    told = common.stored(rows.mapInPandas(_describe, "doc_id long, text_hash long, n int, sid long, sketch binary, chunk int, counts binary"), "shingle-counts")
     members = told.where("n >= 0").select("doc_id", "text_hash", F.col("n").cast("long").alias("n"), "sid")
     counts = np.zeros(CLASSES, np.int64)
     # CHUNKS rows of CLASSES / CHUNKS counts
@@ -283,11 +313,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     led = common.stored(_led(index), "led")
     # the first sets of a frequent key's salted parts are led by one of them
     over = _led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n").distinct())
-    wanted = common.stored(led.select("sid").distinct(), "wanted")
-    bits = spark.sparkContext.broadcast(_filter(wanted))
-    sets = common.stored(texts.mapInPandas(_setter(bits), "sid long, tokens binary").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
-    first = _pairs(led.unionByName(over).where(_near("n", "lead_n")), "sid", "lead")
-    links = _verified(first, sets, "links")
+    sketches = told.where("sketch IS NOT NULL").select("sid", "n", "sketch").join(led.select("sid").distinct(), "sid", "left_semi")
+    sketches = common.stored(sketches, "sketches").dropDuplicates(["sid"])
+    first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n")), "sid", "lead"), "led-pairs")
+    links = _verified(first, sketches, texts, "links")
     parts = components(links)
     # keys that still hold several components: all pairs across them
     placed = led.select("key", "sid", "n").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("part"))
@@ -296,7 +325,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     rest = common.stored(placed.join(open_keys, "key", "left_semi").distinct(), "open")
     x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "part")])
     across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b")), "sid_a", "sid_b")
-    more = _verified(across.join(first, ["a", "b"], "left_anti"), sets, "more-links")
+    more = _verified(across.join(first, ["a", "b"], "left_anti"), sketches, texts, "more-links")
     return members, (components(links.union(more)) if more.head(1) else parts)
 
 

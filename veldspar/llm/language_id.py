@@ -27,7 +27,7 @@ ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 #: Characters handled at a time inside a task.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -108,6 +108,7 @@ class Model:
 
 def train(labelled: DataFrame) -> Model:
     """Fit on all rows of (text, lang) without a null."""
+    common.bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # at most MAX_LANGUAGES * 3 * 2**BITS rows

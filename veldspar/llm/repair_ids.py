@@ -45,7 +45,7 @@ from . import common
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
 BASE = 1 << 20
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 ROUNDS = 6
 #: A pair becomes a rule with so many occurrences at least in a shard, and at most RULES a round.
 FREQUENT = 24
@@ -207,6 +207,7 @@ def _writer(path: str):
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode all of ``docs`` in ascending id order into shards under ``path``."""
+    common.bounded_batches(docs.sparkSession)
     t = common.text_or_empty(docs, text)
     rows = docs.select(F.coalesce(docs[doc_id].cast("long"), F.lit(0)).alias("id"), docs[doc_id].isNull().alias("missing"), t.alias("text"), F.xxhash64(t).alias("h"))
     by = [F.col("missing").desc(), "id", "h"]

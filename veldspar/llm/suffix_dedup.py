@@ -36,7 +36,7 @@ from . import common
 LENGTH = 400
 GRAM = 200
 SPAN = LENGTH - GRAM
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Tuples induced at a time in a task, and classes of one gram beyond which strings are counted by hash.
 HELD = 20_000
 CROWD = 50_000
@@ -226,6 +226,7 @@ def _crowded(regions: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t, spans): the byte ranges of repeated strings of each distinct text, by its hash; null spans: the whole text."""
+    common.bounded_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).where(F.octet_length("text") >= LENGTH)
     a = texts.mapInPandas(_sample, "gram long, owned long, t long, pos int, s int, e int").withColumn("o", F.xxhash64("t", "pos"))
     a = common.stored(a, "suffix-anchors")
