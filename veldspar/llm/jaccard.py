@@ -158,41 +158,46 @@ class Order:
         take = np.lexsort((tokens, level))[: min(n, size + (n <= SHORT))]
         return tokens[take], self.frequent[cls[take]]
 
-    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index keys of a set and which of them are frequent."""
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index keys of a set, which of them are frequent, and the reach of each.
+
+        If a key holds the first tokens that two sets share, they share no more than either's reach: the tokens from
+        the key's place on.
+        """
         n = len(tokens)
         if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, bool)
+            return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int32)
         t, often = self.prefix(tokens)
-        single = t if n * 4 >= SHORT * 3 else t[~often]
-        hot = often if n * 4 >= SHORT * 3 else np.zeros(len(single), bool)
-        many = np.sort(t[often])
-        if n <= SHORT and len(t) == 1:  # one token only: there is no pair to share
-            single, hot = t, often
+        reach = n - np.arange(len(t))
+        alone = np.ones(len(t), bool) if n * 4 >= SHORT * 3 or len(t) == 1 else ~often
+        key, hot, far = t[alone], often[alone], reach[alone]
+        many = np.flatnonzero(often)
         if n <= SHORT and len(many) > 1:
             i, j = np.triu_indices(len(many), 1)
-            pair = _mix(many[i] * M + many[j])
-            single, hot = np.concatenate((single, pair)), np.concatenate((hot, np.ones(len(pair), bool)))
-        return single, hot
+            key = np.concatenate((key, _mix(t[many[i]] * M + t[many[j]])))
+            hot = np.concatenate((hot, np.ones(len(i), bool)))
+            far = np.concatenate((far, reach[many[j]] + 1))
+        return key, hot, far.astype(np.int32)
 
 
 def _indexer(shared):
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sids, ns, salts = [], [], [], []
+            keys, sids, ns, salts, far = [], [], [], [], []
             for tokens in shingle_sets(batch["text"].tolist()):
                 sid = set_id(tokens)
                 if sid in seen or not len(tokens):
                     continue
                 seen.add(sid)
-                k, hot = shared.value.keys(tokens)
+                k, hot, reach = shared.value.keys(tokens)
+                far.append(reach)
                 keys.append(k.view(np.int64))
                 sids.append(np.full(len(k), sid, np.int64))
                 ns.append(np.full(len(k), len(tokens), np.int32))
                 salts.append(np.where(hot, sid % SALTS, -1).astype(np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(salts), "sid": np.concatenate(sids), "n": np.concatenate(ns)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(salts), "sid": np.concatenate(sids), "n": np.concatenate(ns), "reach": np.concatenate(far)})
 
     return index
 
@@ -204,14 +209,14 @@ def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     of the run at hand is carried from batch to batch, however long the run is.
     """
     last: tuple[int, int] | None = None
-    lead, lead_n, told = 0, 0, True
+    lead, lead_n, lead_reach, told = 0, 0, 0, True
     for b in batches:
-        key, salt, sid, n = (b[c].to_numpy() for c in ("key", "salt", "sid", "n"))
+        key, salt, sid, n, reach = (b[c].to_numpy() for c in ("key", "salt", "sid", "n", "reach"))
         if not len(key):
             continue
         new = np.concatenate(([last != (int(key[0]), int(salt[0]))], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first, first_n = np.where(at >= 0, sid[at], lead), np.where(at >= 0, n[at], lead_n)
+        first, first_n, first_reach = np.where(at >= 0, sid[at], lead), np.where(at >= 0, n[at], lead_n), np.where(at >= 0, reach[at], lead_reach)
         others = sid != first
         run = np.cumsum(new)
         second = np.flatnonzero(others)
@@ -220,13 +225,15 @@ def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tell = np.concatenate((second, np.flatnonzero(new & (salt >= 0))))
         i = np.flatnonzero(others)
         if len(i) + len(tell):
-            yield pd.DataFrame({"key": key[np.concatenate((i, tell))], "salt": salt[np.concatenate((i, tell))], "sid": np.concatenate((sid[i], first[tell])), "n": np.concatenate((n[i], first_n[tell])), "lead": first[np.concatenate((i, tell))], "lead_n": first_n[np.concatenate((i, tell))]})
+            both = np.concatenate((i, tell))
+            own = lambda x, of_lead, i=i, tell=tell: np.concatenate((x[i], of_lead[tell]))
+            yield pd.DataFrame({"key": key[both], "salt": salt[both], "sid": own(sid, first), "n": own(n, first_n), "reach": own(reach, first_reach), "lead": first[both], "lead_n": first_n[both], "lead_reach": first_reach[both]})
         tail = run == run[-1]
         told = bool(salt[-1] >= 0 or others[tail].any() or (run[-1] == 0 and told))
-        lead, lead_n, last = int(first[-1]), int(first_n[-1]), (int(key[-1]), int(salt[-1]))
+        lead, lead_n, lead_reach, last = int(first[-1]), int(first_n[-1]), int(first_reach[-1]), (int(key[-1]), int(salt[-1]))
 
 
-_LED = "key long, salt int, sid long, n int, lead long, lead_n int"
+_LED = "key long, salt int, sid long, n int, reach int, lead long, lead_n int, lead_reach int"
 
 
 def _led(rows: DataFrame) -> DataFrame:
@@ -287,9 +294,12 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str
     return common.stored(p.where(F.pandas_udf(_linked, "boolean")("ta", "tb")).select("a", "b"), name)
 
 
-def _near(a: str, b: str):
-    """Sizes that can reach the threshold at all."""
-    return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
+def _near(a: str, b: str, reach_a: str, reach_b: str):
+    """Sizes and reaches with which two sets can link.
+
+    A key that is not the first they share may be refused here: of a pair that links, the first one is not.
+    """
+    return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM) & (F.least(reach_a, reach_b) * (DEN + NUM) >= (F.col(a) + F.col(b)) * NUM)
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -309,22 +319,22 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     for r in told.where("n < 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect():
         counts[r["chunk"] * (CLASSES // CHUNKS) : (r["chunk"] + 1) * (CLASSES // CHUNKS)] = np.frombuffer(r["counts"], "<i8")
     spark = docs.sparkSession
-    index = texts.mapInPandas(_indexer(spark.sparkContext.broadcast(Order(counts))), "key long, salt int, sid long, n int")
+    index = texts.mapInPandas(_indexer(spark.sparkContext.broadcast(Order(counts))), "key long, salt int, sid long, n int, reach int")
     led = common.stored(_led(index), "led")
     # the first sets of a frequent key's salted parts are led by one of them
-    over = _led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n").distinct())
+    over = _led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n", "reach").distinct())
     sketches = told.where("sketch IS NOT NULL").select("sid", "n", "sketch").join(led.select("sid").distinct(), "sid", "left_semi")
     sketches = common.stored(sketches, "sketches").dropDuplicates(["sid"])
-    first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n")), "sid", "lead"), "led-pairs")
+    first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n", "reach", "lead_reach")), "sid", "lead"), "led-pairs")
     links = _verified(first, sketches, texts, "links")
     parts = components(links)
     # keys that still hold several components: all pairs across them
-    placed = led.select("key", "sid", "n").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", F.coalesce("root", "sid").alias("part"))
+    placed = led.select("key", "sid", "n", "reach").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
     placed = common.stored(placed, "placed")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     rest = common.stored(placed.join(open_keys, "key", "left_semi").distinct(), "open")
-    x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "part")])
-    across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b")), "sid_a", "sid_b")
+    x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "reach", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "reach", "part")])
+    across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b", "reach_a", "reach_b")), "sid_a", "sid_b")
     more = _verified(across.join(first, ["a", "b"], "left_anti"), sketches, texts, "more-links")
     return members, (components(links.union(more)) if more.head(1) else parts)
 
