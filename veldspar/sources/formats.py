@@ -39,7 +39,7 @@ def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
