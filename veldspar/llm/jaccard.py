@@ -11,8 +11,9 @@ hash. Texts with equal sets are one class of copies. Of every class the prefix o
   sets differ in size by a quarter at most.
 
 Index keys are read in sorted order. A key's first set (of a salted part, for frequent keys) leads: every other one is
-verified against it. The verified links make components; only keys that still hold several components have the pairs
-across them verified, so a group of n near copies costs about n checks, and yet no link between texts is lost.
+verified against it. The verified links make components. Keys that still hold several components get other leaders, drawn
+by hash, in a few rounds; then the pairs across the components left are all verified. So a group of n near copies costs
+about n checks, and yet no link between texts is lost.
 
 Defined results: null text and text without words have an empty set (n_shingles 0), linked with nothing, and stand
 alone even if repeated; a text of fewer than five words has one shingle, the whole sequence; component_id is the
@@ -22,6 +23,7 @@ an empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,18 @@ from .components import components
 WIDTH = 5
 NUM, DEN = 75, 100
 #: Classes of tokens for which frequencies are kept, in CHUNKS rows a task.
-CLASSES = 1 << 20
+CLASSES = 1 << 21
+CLASS_SHIFT = np.uint64(64 - 21)
 CHUNKS = 64
+#: Tokens counted at a time: those that only one set of them has add nothing to their class.
+WINDOW = 1 << 21
 #: A class is frequent with so many times the mean count of a class, and so many more.
-FREQUENT_X, FREQUENT = 4, 64
+FREQUENT_X, FREQUENT = 4, 16
 #: Sets of at most SHORT tokens index pairs of frequent tokens; those of at least 3/4 of it index them alone.
 SHORT = 60
 SALTS = 16
+#: Rounds of further leaders of keys with several components, and the leaders a set is verified against in one.
+LEAD_ROUNDS, LEADERS = 2, 8
 FILTER_BITS = 1 << 26
 M = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
@@ -115,9 +122,17 @@ def at_most(x: bytes, y: bytes) -> int:
     return int(np.minimum(a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)).sum())
 
 
+def _count(counts: np.ndarray, window: list[np.ndarray]) -> None:
+    """Add the tokens that several sets of the window have; the many that one set has would drown them in their classes."""
+    token, n = np.unique(np.concatenate(window), return_counts=True)
+    np.add.at(counts, (token[n > 1] >> CLASS_SHIFT).astype(np.int64), n[n > 1])
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts = np.zeros(CLASSES, np.int64)
     seen: set[int] = set()
+    window: list[np.ndarray] = []
+    held = 0
     for batch in batches:
         n, sid, sketches = [], [], []
         for tokens in shingle_sets(batch["text"].tolist()):
@@ -127,17 +142,23 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if sid[-1] not in seen and len(tokens):  # copies within a task count once
                 seen.add(sid[-1])
                 sketches[-1] = sketch(tokens)
-                np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                window.append(tokens)
+                held += len(tokens)
+                if held >= WINDOW:
+                    _count(counts, window)
+                    window, held = [], 0
         yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n": n, "sid": sid, "sketch": sketches, "chunk": None, "counts": None})
+    if window:
+        _count(counts, window)
     if counts.any():
         parts = np.minimum(counts, 2**31 - 1).astype("<i4").reshape(CHUNKS, -1)
-        yield pd.DataFrame({"doc_id": pd.Series([None] * CHUNKS, dtype="Int64"), "text_hash": 0, "n": -1, "sid": None, "sketch": None, "chunk": range(CHUNKS), "counts": [p.tobytes() for p in parts]})
+        yield pd.DataFrame({"doc_id": pd.Series([None] * CHUNKS, dtype="Int64"), "text_hash": 0, "n": -1, "sid": None, "sketch": None, "chunk": range(CHUNKS), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
 
 
 def _sum_counts(group: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(CLASSES // CHUNKS, np.int64)
     for c in group["counts"]:
-        total += np.frombuffer(c, "<i4")
+        total += np.frombuffer(zlib.decompress(c), "<i4")
     return pd.DataFrame({"chunk": group["chunk"].iloc[:1], "counts": [total.astype("<i8").tobytes()]})
 
 
@@ -153,9 +174,8 @@ class Order:
         """The prefix tokens, extended by one for short sets, and which of them are frequent."""
         n = len(tokens)
         size = n - (-(-NUM * n // DEN)) + 1
-        cls = (tokens >> np.uint64(44)).astype(np.int64)
-        level = np.where(self.frequent[cls], self.level[cls], 0)
-        take = np.lexsort((tokens, level))[: min(n, size + (n <= SHORT))]
+        cls = (tokens >> CLASS_SHIFT).astype(np.int64)
+        take = np.lexsort((tokens, self.level[cls]))[: min(n, size + (n <= SHORT))]
         return tokens[take], self.frequent[cls[take]]
 
     def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +319,7 @@ def _near(a: str, b: str, reach_a: str, reach_b: str):
 
     A key that is not the first they share may be refused here: of a pair that links, the first one is not.
     """
-    return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM) & (F.least(reach_a, reach_b) * (DEN + NUM) >= (F.col(a) + F.col(b)) * NUM)
+    return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM) & (F.least(F.col(reach_a), F.col(reach_b)) * (DEN + NUM) >= (F.col(a) + F.col(b)) * NUM)
 
 
 def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -328,17 +348,44 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n", "reach", "lead_reach")), "sid", "lead"), "led-pairs")
     links = _verified(first, sketches, texts, "links")
     parts = components(links)
+    tried = first
+    for k in range(LEAD_ROUNDS):
+        rest = _open(led, parts, f"open-{k}")
+        near = _pairs(_led_again(rest, k), "sid", "lead").join(tried, ["a", "b"], "left_anti")
+        near = common.stored(near, f"led-again-{k}")
+        if not near.head(1):
+            break
+        tried = tried.union(near)
+        links = common.stored(links.union(_verified(near, sketches, texts, f"links-{k}")), f"all-links-{k}")
+        parts = components(links)
     # keys that still hold several components: all pairs across them
-    placed = led.select("key", "sid", "n", "reach").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
-    placed = common.stored(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    rest = common.stored(placed.join(open_keys, "key", "left_semi").distinct(), "open")
+    rest = _open(led, parts, "open")
     x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "reach", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "reach", "part")])
     across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b", "reach_a", "reach_b")), "sid_a", "sid_b")
-    more = _verified(across.join(first, ["a", "b"], "left_anti"), sketches, texts, "more-links")
+    more = _verified(across.join(tried, ["a", "b"], "left_anti"), sketches, texts, "more-links")
     return members, (components(links.union(more)) if more.head(1) else parts)
 
 
+def _open(led: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+    """Rows of keys that hold several components, with the component of each as part."""
+    placed = led.select("key", "sid", "n", "reach").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
+    placed = common.stored(placed, f"{name}-placed")
+    open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
+    return common.stored(placed.join(open_keys, "key", "left_semi").distinct(), name)
+
+
+def _led_again(rest: DataFrame, k: int) -> DataFrame:
+    """Every set of an open key with another leader, drawn by a hash of the key: of all its keys a set meets many leaders.
+
+    A set takes LEADERS of them in a round; what it doesn't meet is left to the pairs across components.
+    """
+    leader = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sid", F.lit(k)).alias("h"), "sid", "n", "reach", "part")).alias("l"))
+    met = rest.join(leader, "key").where((F.col("part") != F.col("l.part")) & _near("n", "l.n", "reach", "l.reach"))
+    met = met.groupBy("sid", F.col("l.sid").alias("lead")).agg(F.count("*").alias("shared"))
+    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("shared"), F.xxhash64("sid", "lead")))
+    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select("sid", "lead")
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and keep (the row's id and text are the component's first) of each row."""
     members, parts = classes(docs, doc_id, text)
