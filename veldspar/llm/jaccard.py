@@ -12,7 +12,7 @@ hash. Texts with equal sets are one class of copies. Of every class the prefix o
 
 Index keys are read in sorted order. A key's first set (of a salted part, for frequent keys) leads: every other one is
 verified against it. The verified links make components. Keys that still hold several components get other leaders, drawn
-by hash, in a few rounds; then the pairs across the components left are all verified. So a group of n near copies costs
+by hash; then the pairs across the components left are all verified. So a group of n near copies costs
 about n checks, and yet no link between texts is lost.
 
 Defined results: null text and text without words have an empty set (n_shingles 0), linked with nothing, and stand
@@ -48,8 +48,8 @@ FREQUENT_X, FREQUENT = 4, 16
 #: Sets of at most SHORT tokens index pairs of frequent tokens; those of at least 3/4 of it index them alone.
 SHORT = 60
 SALTS = 16
-#: Rounds of further leaders of keys with several components, and the leaders a set is verified against in one.
-LEAD_ROUNDS, LEADERS = 2, 8
+#: Further leaders of keys with several components that a set is verified against.
+LEADERS = 8
 FILTER_BITS = 1 << 26
 M = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
@@ -265,11 +265,12 @@ def _setter(shared):
         seen: set[int] = set()
         bits = shared.value
         for batch in batches:
+            cell = batch["text_hash"].to_numpy() & (FILTER_BITS - 1)
+            want = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)  # only texts that may be wanted are cut into words
             sids, tokens_of = [], []
-            for tokens in shingle_sets(batch["text"].tolist()):
+            for tokens in shingle_sets(batch["text"].iloc[want].tolist()):
                 sid = set_id(tokens)
-                cell = sid & (FILTER_BITS - 1)
-                if len(tokens) and sid not in seen and bits[cell >> 3] >> (cell & 7) & 1:
+                if len(tokens) and sid not in seen:
                     seen.add(sid)
                     sids.append(sid)
                     tokens_of.append(tokens.tobytes())
@@ -279,9 +280,9 @@ def _setter(shared):
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """A bit for each low part of a wanted id: FILTER_BITS bits at any input size. It only saves work; a join decides."""
-    cell = F.col("sid").bitwiseAND(F.lit(FILTER_BITS - 1))
-    got = wanted.groupBy(F.shiftright(cell, 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(sid & 31 AS INT))")).alias("bits")).toPandas()
+    """A bit for each low part of a wanted hash: FILTER_BITS bits at any input size. It only saves work; a join decides."""
+    cell = F.col("text_hash").bitwiseAND(F.lit(FILTER_BITS - 1))
+    got = wanted.groupBy(F.shiftright(cell, 5).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(text_hash & 31 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 32, "<u4")
     out[got["word"].to_numpy()] = got["bits"].to_numpy().astype("<u4")
     return out.view(np.uint8)
@@ -305,7 +306,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, name: str
     side = lambda x: sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     maybe = pairs.join(side("a"), "a").join(side("b"), "b").where(F.pandas_udf(_may_link, "boolean")("na", "nb", "sa", "sb")).select("a", "b")
     maybe = common.stored(maybe, f"{name}-maybe")
-    wanted = common.stored(maybe.select(F.col("a").alias("sid")).union(maybe.select("b")).distinct(), f"{name}-wanted")
+    wanted = maybe.select(F.col("a").alias("sid")).union(maybe.select("b")).distinct().join(sketches.select("sid", "text_hash"), "sid")
+    wanted = common.stored(wanted, f"{name}-wanted")
     bits = pairs.sparkSession.sparkContext.broadcast(_filter(wanted))
     sets = texts.mapInPandas(_setter(bits), "sid long, tokens binary").join(wanted, "sid", "left_semi")
     sets = common.stored(sets, f"{name}-sets").dropDuplicates(["sid"])
@@ -331,7 +333,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     common.bounded_batches(docs.sparkSession)
     t = docs[text].cast("string")
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text"))
-    texts = rows.select("text").where("text IS NOT NULL")
+    texts = rows.select("text", "text_hash").where("text IS NOT NULL")
     told = common.stored(rows.mapInPandas(_describe, "doc_id long, text_hash long, n int, sid long, sketch binary, chunk int, counts binary"), "shingle-counts")
     members = told.where("n >= 0").select("doc_id", "text_hash", F.col("n").cast("long").alias("n"), "sid")
     counts = np.zeros(CLASSES, np.int64)
@@ -343,43 +345,38 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     led = common.stored(_led(index), "led")
     # the first sets of a frequent key's salted parts are led by one of them
     over = _led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n", "reach").distinct())
-    sketches = told.where("sketch IS NOT NULL").select("sid", "n", "sketch").join(led.select("sid").distinct(), "sid", "left_semi")
+    sketches = told.where("sketch IS NOT NULL").select("sid", "n", "sketch", "text_hash").join(led.select("sid").distinct(), "sid", "left_semi")
     sketches = common.stored(sketches, "sketches").dropDuplicates(["sid"])
     first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n", "reach", "lead_reach")), "sid", "lead"), "led-pairs")
     links = _verified(first, sketches, texts, "links")
     parts = components(links)
-    tried = first
-    for k in range(LEAD_ROUNDS):
-        rest = _open(led, parts, f"open-{k}")
-        near = _pairs(_led_again(rest, k), "sid", "lead").join(tried, ["a", "b"], "left_anti")
-        near = common.stored(near, f"led-again-{k}")
-        if not near.head(1):
-            break
-        tried = tried.union(near)
-        links = common.stored(links.union(_verified(near, sketches, texts, f"links-{k}")), f"all-links-{k}")
+    rest = _open(led.select("key", "sid", "n", "reach").distinct(), parts, "open-first")
+    near = common.stored(_pairs(_led_again(rest), "sid", "lead").join(first, ["a", "b"], "left_anti"), "led-again")
+    if near.head(1):
+        links = common.stored(links.union(_verified(near, sketches, texts, "links-again")), "all-links")
         parts = components(links)
     # keys that still hold several components: all pairs across them
-    rest = _open(led, parts, "open")
+    rest = _open(rest.drop("part"), parts, "open")
     x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "reach", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "reach", "part")])
     across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b", "reach_a", "reach_b")), "sid_a", "sid_b")
-    more = _verified(across.join(tried, ["a", "b"], "left_anti"), sketches, texts, "more-links")
+    more = _verified(across.join(first.union(near), ["a", "b"], "left_anti"), sketches, texts, "more-links")
     return members, (components(links.union(more)) if more.head(1) else parts)
 
 
-def _open(led: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+def _open(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
     """Rows of keys that hold several components, with the component of each as part."""
-    placed = led.select("key", "sid", "n", "reach").join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
+    placed = rows.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
     placed = common.stored(placed, f"{name}-placed")
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    return common.stored(placed.join(open_keys, "key", "left_semi").distinct(), name)
+    return common.stored(placed.join(open_keys, "key", "left_semi"), name)
 
 
-def _led_again(rest: DataFrame, k: int) -> DataFrame:
+def _led_again(rest: DataFrame) -> DataFrame:
     """Every set of an open key with another leader, drawn by a hash of the key: of all its keys a set meets many leaders.
 
-    A set takes LEADERS of them in a round; what it doesn't meet is left to the pairs across components.
+    A set takes LEADERS of them; what it doesn't meet is left to the pairs across components.
     """
-    leader = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sid", F.lit(k)).alias("h"), "sid", "n", "reach", "part")).alias("l"))
+    leader = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sid").alias("h"), "sid", "n", "reach", "part")).alias("l"))
     met = rest.join(leader, "key").where((F.col("part") != F.col("l.part")) & _near("n", "l.n", "reach", "l.reach"))
     met = met.groupBy("sid", F.col("l.sid").alias("lead")).agg(F.count("*").alias("shared"))
     nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("shared"), F.xxhash64("sid", "lead")))
