@@ -164,6 +164,43 @@ def test_jaccard(spark, sf):
     assert kept.count() == len({root(i) for i in range(len(rows)) if sets[i]}) + sum(not s for s in sets)
 
 
+def test_jaccard_keys_reach_every_link():
+    rng = np.random.default_rng(3)
+    counts = np.zeros(jaccard.CLASSES, np.int64)
+    counts[: 1 << 12] = rng.integers(15, 19, 1 << 12)  # on both sides of the limit, which is just over 16
+    order = jaccard.Order(counts)
+    linked = 0
+    for _ in range(4000):
+        n = int(rng.integers(2, 70))
+        pool = np.unique(rng.integers(0, 1 << 55, 2 * n, dtype=np.uint64))
+        rng.shuffle(pool)
+        a, b = (np.unique(np.concatenate((pool[: n - k], pool[n + 4 * i : n + 4 * i + j]))) for i, k, j in ((0, *rng.integers(0, 4, 2)), (1, *rng.integers(0, 4, 2))))
+        both = len(np.intersect1d(a, b))
+        if not both or 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        linked += 1
+        (ka, _, ra), (kb, _, rb) = order.keys(a), order.keys(b)
+        reach = dict(zip(kb.tolist(), rb.tolist(), strict=True))
+        assert any(k in reach and min(r, reach[k]) >= both for k, r in zip(ka.tolist(), ra.tolist(), strict=True)), (len(a), len(b), both)
+    assert linked > 1000
+
+
+def test_jaccard_links_around_the_frequency_limit(spark):
+    rng = np.random.default_rng(12)
+    some = lambda n: " ".join("q%d" % i for i in rng.integers(0, 10**9, n))
+    texts, pairs = [], []
+    for _ in range(12):
+        x = some(13)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [x + " " + some(1), x + " " + some(1)]
+        for k, n in enumerate(rng.integers(13, 18, 9)):  # and two texts of the pair: 15 to 19 sets share each shingle
+            texts += [" ".join([some(20), *x.split()[k : k + 5], some(20)]) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.grouped(docs).collect()}
+    assert [(a, b) for a, b in pairs if got[a] != got[b]] == []
+    assert len(set(got.values())) == len(texts) - len(pairs)
+
+
 def test_pii(spark, sf):
     got = {r["doc_id"]: r for r in pii.op6(spark, sf[0]).where("doc_id IS NOT NULL").collect()}
     mail = next(r[0] for r in sf[1] if (r[1] or "").startswith("write to"))

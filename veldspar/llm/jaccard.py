@@ -1,7 +1,7 @@
 """N-gram Jaccard join by token-combination prefixes.
 
-A text's tokens are its distinct 5-word shingles (64-bit hashes), ordered by how frequent their class is and then by
-hash. Texts with equal sets are one class of copies. Of every class the prefix of the ordered set is indexed:
+A text's tokens are its distinct 5-word shingles (64-bit hashes), ordered by how frequent their class is (all tokens of
+rare classes before those of frequent ones) and then by hash. Texts with equal sets are one class of copies. Of every class the prefix of the ordered set is indexed:
 
 * tokens of rare classes alone;
 * for short sets, whose prefixes can be made of shared passages only, the prefix is extended by one and tokens of
@@ -163,12 +163,16 @@ def _sum_counts(group: pd.DataFrame) -> pd.DataFrame:
 
 
 class Order:
-    """Token order: class of frequency, then hash. One byte a class, so its size is fixed."""
+    """Token order: class of frequency, then hash. Two bytes a class, so its size is fixed.
+
+    The limit falls inside a power of two, so ``frequent`` parts that level too: if the first token two sets share is
+    frequent, so is the second.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.level = np.ceil(np.log2(counts + 1)).astype(np.uint8)
         limit = FREQUENT_X * counts.mean() + FREQUENT
         self.frequent = counts > limit
+        self.level = 2 * np.ceil(np.log2(counts + 1)).astype(np.uint8) + self.frequent
 
     def prefix(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The prefix tokens, extended by one for short sets, and which of them are frequent."""
