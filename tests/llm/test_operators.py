@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veldspar.llm import decontaminate, jaccard, language_id, lm_scoring, mixing, pii, quality_rules, registry, repair_ids, sharding, suffix_dedup
@@ -229,6 +230,20 @@ def test_quality(spark, sf):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_quality_rejects_bad_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    told = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("quality").alias("best"), F.max("toxic").alias("toxic"))
+    got = quality_rules.op7(spark, sf).where("NOT base_failed").join(told, "doc_id").groupBy("good", "best", "toxic").agg(F.sum(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    share = lambda rows: sum(r["kept"] for r in rows) / sum(r["n"] for r in rows)
+    assert share([r for r in got if r["best"] == 0]) < 0.02
+    assert share([r for r in got if r["good"] == 1]) > 0.99  # of these the toxic ones are not in the target
+
+
+def test_quality_trusts_no_toxic_documents(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, None), (4, 1, 0), (4, 0, 0), (5, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    assert sorted(r["_id"] for r in quality_rules.trusted(labels).collect()) == [1, 3]
+
+
 def test_language(spark, sf):
     got = language_id.op8(spark, sf[0]).collect()
     assert len(got) == len(sf[1])
