@@ -4,9 +4,11 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,34 @@ def test_model_base(spark, sf):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def test_model_trains_on_every_window(spark):
+    import public_tokenizers
+
+    path, attention = public_tokenizers.path(lm_scoring.TOKENIZER), lm_scoring.A
+    ids = lm_scoring.Ids(path)
+    classes, _ = attention.class_map(np.zeros(ids.n, np.int64), ids.starts)
+    flat, bigram = attention.initial(), np.full((attention.CLASSES + 1, attention.CLASSES), -np.log(attention.CLASSES))
+    texts = [prose(int(n)) for n in RNG.integers(0, 400, 60)]
+    v = lm_scoring.Vocabulary(path)
+    held = [lm_scoring.words(t) for t in texts]
+    c, lens, _ = lm_scoring.sequences(v, v.numbers(held), np.array([len(h) for h in held]), classes)
+    n = len(attention.windows(c, lens)[0])
+    once = [pd.concat(lm_scoring._trainer(path, SimpleNamespace(value=(flat, bigram, classes)), k)(iter([pd.DataFrame({"text": texts[:20]}), pd.DataFrame({"text": texts[20:]})]))) for k in (0, 1)]
+    assert all((t["weight"] == n).all() for t in once)
+    assert not np.allclose(once[0]["value"], once[1]["value"])  # a seed of its own for each round
+    taken = []
+    step = attention.Model.gradient
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(attention.Model, "gradient", lambda self, x, y, s: (taken.extend(map(bytes, np.ascontiguousarray(x))), step(self, x, y, s))[1])
+        x, y, s = attention.windows(c, lens)
+        x = x.copy()
+        x[:, 0] = np.arange(n) % attention.CLASSES
+        attention.fit(flat, bigram, iter([(x[:100], y[:100], s[:100]), (x[100:], y[100:], s[100:])]), 1, np.random.default_rng(1))
+    assert sorted(taken) == sorted(map(bytes, np.ascontiguousarray(x)))
+    training = spark.range(500).select(F.xxhash64("id").alias("h"))
+    assert sum(lm_scoring.of_round(training, k).count() for k in range(lm_scoring.ROUNDS)) == 500
+
+
 def test_decontaminate(spark, sf):
     rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     wins = defaultdict(set)

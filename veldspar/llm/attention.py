@@ -10,15 +10,17 @@ a word ends: that of the classes from ``start`` on, in which the end of a text i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-CLASSES = 128
+CLASSES = 160
 #: Classes that share the ids without a class of their own, for either kind of id; the last class is the end of a text.
 SHARED = 8
 WIDTH = 16
 HIDDEN = 16
 #: Positions of a window, and those at its front that are context only (but in a text's first window).
-WINDOW, CONTEXT = 32, 8
+WINDOW, CONTEXT = 32, 16
 END, BEGIN = CLASSES - 1, CLASSES
 
 
@@ -169,15 +171,39 @@ class Model:
         return loss, np.concatenate([g[n].ravel() for n in NAMES]).astype(np.float32)
 
 
-def fit(flat: np.ndarray, bigram: np.ndarray, x: np.ndarray, y: np.ndarray, scored: np.ndarray, steps: int, batch: int = 64, rate: float = 0.01, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Adam over random windows -> parameters and the mean loss of the last tenth of the steps."""
-    rng = np.random.default_rng(seed)
-    flat, m, v, losses = flat.copy(), np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32), []
-    for k in range(1, steps + 1):
-        i = rng.integers(0, len(x), batch)
-        loss, g = Model(flat, bigram).gradient(x[i], y[i], scored[i])
-        losses.append(loss)
+def fit(flat: np.ndarray, bigram: np.ndarray, blocks: Iterator[tuple[np.ndarray, ...]], least: int, rng: np.random.Generator, batch: int = 64, rate: float = 0.01) -> tuple[np.ndarray, int]:
+    """Adam over every window of ``blocks`` (inputs, targets, scored) once, each block's in random order -> parameters, windows.
+
+    Where that gives fewer than ``least`` steps, the windows are drawn again until it does.
+    """
+    flat, m, v = flat.copy(), np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32)
+    k = seen = 0
+
+    def step(x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
+        nonlocal flat, m, v, k
+        k += 1
+        _, g = Model(flat, bigram).gradient(x.astype(np.int64), y.astype(np.int64), scored)
         m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
-        lr = rate * min(1, k / 20) * max(0.05, 1 - k / steps)
+        lr = rate * min(1, k / 20) * max(0.05, (1 + k / 60) ** -0.5)
         flat -= (lr * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-8)).astype(np.float32)
-    return flat, float(np.mean(losses[-max(1, steps // 10) :])) if losses else 0.0
+
+    kept: list[tuple[np.ndarray, ...]] = []  # all windows, if they are so few that they are drawn again
+    rest: tuple[np.ndarray, ...] | None = None  # less than a batch
+    for block in blocks:
+        seen += len(block[0])
+        if seen <= least * batch:
+            kept.append(block)
+        order = rng.permutation(len(block[0]))
+        own = tuple(a[order] if rest is None else np.concatenate((b, a[order])) for a, b in zip(block, rest or block, strict=True))
+        full = len(own[0]) // batch * batch
+        for at in range(0, full, batch):
+            step(*(a[at : at + batch] for a in own))
+        rest = tuple(a[full:] for a in own)
+    if rest is not None and len(rest[0]):
+        step(*rest)
+    if seen and k < least:
+        own = tuple(np.concatenate(a) for a in zip(*kept, strict=True))
+        while k < least:
+            i = rng.integers(0, len(own[0]), batch)
+            step(*(a[i] for a in own))
+    return flat, seen

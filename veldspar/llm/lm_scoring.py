@@ -2,9 +2,11 @@
 
 Learning, from all training documents:
 
-* word counts, counts of the tokenizer's ids and bigrams of id classes: summed in tasks, then by Spark;
-* the attention layer: every task trains on windows of a share of its documents, Spark averages the parameters of all
-  tasks, and the next round starts from the average. What is gathered grows with the number of tasks.
+* word counts, counts of the tokenizer's ids and (the classes then fixed) bigrams of id classes: summed in tasks, then by
+  Spark;
+* the attention layer: the documents are dealt to ROUNDS by hash; in each round every task trains once on all windows of
+  its documents of the round, and Spark averages the parameters of all tasks, weighted by their windows. The next round
+  starts from the average. What is gathered grows with the number of tasks.
 
 Scoring: a text is its words and an end; a word is the ids of " word". Overlapping windows give each id one probability
 from batched masked attention. A word's probability is the weighted mean of the attention model's (its ids, then any id that
@@ -29,6 +31,7 @@ import pandas as pd
 import public_tokenizers
 import tiktoken
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +42,8 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 HEAD = 1 << 17
 #: Weight of the word's own frequency in the mean.
 MIXED = 0.7
-#: Documents that fix the id classes (they only shape the model, all counts are of the whole corpus).
-CLASS_DOCS = 4000
-#: Each task trains on one in SHARE of its documents, STEPS steps of BATCH windows a round.
-SHARE, ROUNDS, STEPS, BATCH = 8, 2, 60, 64
+#: A task takes a step for each BATCH of the windows of a round, and where these are few, STEPS steps at least.
+ROUNDS, STEPS, BATCH = 2, 120, 64
 SMOOTH = 20.0
 #: Distinct words a task remembers, and words it handles at a time.
 REMEMBERED = 250_000
@@ -147,28 +148,14 @@ def sequences(vocabulary: Vocabulary, numbers: np.ndarray, n_words: np.ndarray,
     return out, lens, at
 
 
-def _id_counter(path: str):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, total = Vocabulary(path), np.zeros(0, np.int64)
-        for _, held in _blocks(batches):
-            got = np.bincount(v.spelled(v.numbers(held)), minlength=len(total))
-            got[: len(total)] += total
-            total = got
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"key": at, "n": total[at]})
-
-    return count
-
-
 #: Kinds of counts.
-WORD, ID, PAIR = 0, 1, 2
+WORD, ID = 0, 1
 
 
-def _counter(path: str, classes: np.ndarray):
+def _counter(path: str):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v, seen = Vocabulary(path), np.zeros(0, np.int64)
-        pairs = np.zeros((A.CLASSES + 1) * A.CLASSES, np.int64)
-        ids = np.zeros(len(classes), np.int64)
+        ids = np.zeros(v.known.n, np.int64)
 
         def flush() -> pd.DataFrame:
             np.add.at(ids, v.spelled(np.arange(len(seen))), np.repeat(seen, v.size))
@@ -184,31 +171,54 @@ def _counter(path: str, classes: np.ndarray):
             got = np.bincount(numbers, minlength=len(v))
             got[: len(seen)] += seen
             seen = got
-            c, lens, _ = sequences(v, numbers, np.fromiter(map(len, held), np.int64, len(held)), classes)
+        yield flush()
+        at = np.flatnonzero(ids)
+        yield pd.DataFrame({"kind": ID, "key": at, "n": ids[at]})
+
+    return count
+
+
+def _sequences(path: str, batches: Iterator[pd.DataFrame], classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    v = Vocabulary(path)
+    for _, held in _blocks(batches):
+        if len(v) > REMEMBERED:
+            v.reset()
+        c, lens, _ = sequences(v, v.numbers(held), np.fromiter(map(len, held), np.int64, len(held)), classes)
+        yield c, lens
+
+
+def _pair_counter(path: str, shared):
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = np.zeros((A.CLASSES + 1) * A.CLASSES, np.int64)
+        for c, lens in _sequences(path, batches, shared.value):
             before = np.concatenate(([A.BEGIN], c[:-1])).astype(np.int64)
             before[np.cumsum(lens) - lens] = A.BEGIN
             pairs += np.bincount(before * A.CLASSES + c, minlength=len(pairs))
-        yield flush()
-        for kind, table in ((ID, ids), (PAIR, pairs)):
-            at = np.flatnonzero(table)
-            yield pd.DataFrame({"kind": kind, "key": at, "n": table[at]})
+        at = np.flatnonzero(pairs)
+        yield pd.DataFrame({"key": at, "n": pairs[at]})
 
     return count
 
 
-def _trainer(path: str, shared):
+def of_round(training: DataFrame, nth: int) -> DataFrame:
+    """The documents of a round; every document is in one."""
+    return training.where(F.pmod(F.xxhash64("h"), F.lit(ROUNDS)) == nth)
+
+
+def _trainer(path: str, shared, nth: int):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, bigram, classes = shared.value
-        v, x, y, s = Vocabulary(path), [], [], []
-        for _, held in _blocks(batches):
-            if len(v) > REMEMBERED:
-                v.reset()
-            c, lens, _ = sequences(v, v.numbers(held), np.fromiter(map(len, held), np.int64, len(held)), classes)
-            for all_, got in zip((x, y, s), A.windows(c, lens), strict=True):
-                all_.append(got.astype(np.int16 if got.dtype != bool else bool))
-        if x:
-            flat, _ = A.fit(flat, bigram, np.concatenate(x).astype(np.int64), np.concatenate(y).astype(np.int64), np.concatenate(s), STEPS, BATCH)
-            yield pd.DataFrame({"place": np.arange(A.PARAMETERS), "value": flat.astype(np.float64), "weight": 1.0})
+        context = TaskContext.get()
+        rng = np.random.default_rng([5, nth, context.partitionId() if context else 0])
+
+        def blocks() -> Iterator[tuple[np.ndarray, ...]]:
+            for c, lens in _sequences(path, batches, classes):
+                x, y, scored = A.windows(c, lens)
+                yield x.astype(np.int16), y.astype(np.int16), scored
+
+        flat, n = A.fit(flat, bigram, blocks(), STEPS, rng, BATCH)
+        if n:
+            yield pd.DataFrame({"place": np.arange(A.PARAMETERS), "value": flat.astype(np.float64) * n, "weight": float(n)})
 
     return train
 
@@ -313,33 +323,30 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     d = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     training = d.where("NOT held_out").select("text", F.xxhash64("doc_id", F.lit("lm")).alias("h"))
     n_train = training.count()
-    # classes of ids
-    some = training.where(F.pmod("h", F.lit(max(1, n_train // CLASS_DOCS))) == 0).select("text")
     known = Ids(path)
     n_ids, starts = known.n, known.starts
-    seen = np.zeros(n_ids, np.int64)
-    for r in some.mapInPandas(_id_counter(path), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        seen[r["key"]] = r["n"]
-    classes, start = A.class_map(seen, starts)
-    # counts of all training documents
-    counts = training.select("text").mapInPandas(_counter(path, classes), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    counts = training.select("text").mapInPandas(_counter(path), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = common.stored(counts, "lm-counts")
     frequent = counts.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + n_train, distinct + (n_train > 0)
-    ids, pairs = np.full(n_ids, 0.5), np.zeros((A.CLASSES + 1) * A.CLASSES)
-    for r in counts.where(F.col("kind") != WORD).collect():  # a row for each id and each pair of classes
-        (ids if r["kind"] == ID else pairs)[r["key"]] += r["n"]
+    seen, pairs = np.zeros(n_ids, np.int64), np.zeros((A.CLASSES + 1) * A.CLASSES)
+    for r in counts.where(F.col("kind") == ID).collect():  # a row for each id
+        seen[r["key"]] = r["n"]
+    classes, start = A.class_map(seen, starts)
+    ids = seen + 0.5
+    shared = spark.sparkContext.broadcast(classes)
+    for r in training.select("text").mapInPandas(_pair_counter(path, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+        pairs[r["key"]] = r["n"]
     share = np.log(ids / np.bincount(classes, weights=ids, minlength=A.CLASSES)[classes])
     pairs = pairs.reshape(A.CLASSES + 1, A.CLASSES)
     one = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * A.CLASSES)
     bigram = np.log((pairs + SMOOTH * one) / (pairs.sum(axis=1, keepdims=True) + SMOOTH))
     # attention: rounds of training in all tasks, averaged
     flat = A.initial()
-    windows = training.where(F.pmod(F.xxhash64("h"), F.lit(SHARE)) == 0).select("text")
-    for _ in range(ROUNDS):
+    for nth in range(ROUNDS):
         shared = spark.sparkContext.broadcast((flat, bigram, classes))
-        got = windows.mapInPandas(_trainer(path, shared), "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
+        got = of_round(training, nth).select("text").mapInPandas(_trainer(path, shared, nth), "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
         for r in got:  # PARAMETERS rows
             flat[r["place"]] = r["value"]
     head = frequent.where(F.col("n") >= least_frequent(frequent)).toPandas()  # HEAD rows at most
