@@ -10,10 +10,12 @@ rare classes before those of frequent ones) and then by hash. Texts with equal s
 * longer sets index every prefix token alone. Sets in between do both, so no link falls between the two ways: linked
   sets differ in size by a quarter at most.
 
-Index keys are read in sorted order. A key's first set (of a salted part, for frequent keys) leads: every other one is
-verified against it. The verified links make components. Keys that still hold several components get other leaders, drawn
-by hash; then the pairs across the components left are all verified. So a group of n near copies costs
-about n checks, and yet no link between texts is lost.
+Index keys are read in sorted order. A key's most typical set leads, the one whose tokens are the most frequent on the
+whole: of near copies it is the one that the others were made from. Every other set is verified against it (and, in
+frequent keys, against the leader of its salted part). The verified links make components. Of keys that still hold several
+components, a set that has no partner by size and place is left out, and the others outside a key's largest component are
+verified against all that are not of their own. So a group of n near copies costs about n checks, and yet no link between
+texts is lost.
 
 Defined results: null text and text without words have an empty set (n_shingles 0), linked with nothing, and stand
 alone even if repeated; a text of fewer than five words has one shingle, the whole sequence; component_id is the
@@ -48,8 +50,6 @@ FREQUENT_X, FREQUENT = 4, 16
 #: Sets of at most SHORT tokens index pairs of frequent tokens; those of at least 3/4 of it index them alone.
 SHORT = 60
 SALTS = 16
-#: Further leaders of keys with several components that a set is verified against.
-LEADERS = 8
 FILTER_BITS = 1 << 26
 M = np.uint64(0x9E3779B97F4A7C15)
 BLOCK = 1 << 18
@@ -182,6 +182,10 @@ class Order:
         take = np.lexsort((tokens, self.level[cls]))[: min(n, size + (n <= SHORT))]
         return tokens[take], self.frequent[cls[take]]
 
+    def typical(self, tokens: np.ndarray) -> int:
+        """How frequent the tokens of a set are: the mean level of their classes, in thousandths."""
+        return int(1000 * self.level[(tokens >> CLASS_SHIFT).astype(np.int64)].mean())
+
     def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index keys of a set, which of them are frequent, and the reach of each.
 
@@ -208,7 +212,7 @@ def _indexer(shared):
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            keys, sids, ns, salts, far = [], [], [], [], []
+            keys, sids, ns, salts, far, typical = [], [], [], [], [], []
             for tokens in shingle_sets(batch["text"].tolist()):
                 sid = set_id(tokens)
                 if sid in seen or not len(tokens):
@@ -216,31 +220,32 @@ def _indexer(shared):
                 seen.add(sid)
                 k, hot, reach = shared.value.keys(tokens)
                 far.append(reach)
+                typical.append(np.full(len(k), shared.value.typical(tokens), np.int32))
                 keys.append(k.view(np.int64))
                 sids.append(np.full(len(k), sid, np.int64))
                 ns.append(np.full(len(k), len(tokens), np.int32))
                 salts.append(np.where(hot, sid % SALTS, -1).astype(np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(salts), "sid": np.concatenate(sids), "n": np.concatenate(ns), "reach": np.concatenate(far)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "salt": np.concatenate(salts), "sid": np.concatenate(sids), "n": np.concatenate(ns), "reach": np.concatenate(far), "typical": np.concatenate(typical)})
 
     return index
 
 
 def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by key, salt and sid -> rows of keys with several sets, each with the first set of its run.
+    """Rows sorted by key and salt, the leader first -> rows of keys with several sets, each with the first set of its run.
 
     The first row of a run comes too: at once if the key is salted, else when a second set appears. Only the first row
     of the run at hand is carried from batch to batch, however long the run is.
     """
     last: tuple[int, int] | None = None
-    lead, lead_n, lead_reach, told = 0, 0, 0, True
+    lead, lead_n, lead_reach, lead_typical, told = 0, 0, 0, 0, True
     for b in batches:
-        key, salt, sid, n, reach = (b[c].to_numpy() for c in ("key", "salt", "sid", "n", "reach"))
+        key, salt, sid, n, reach, typical = (b[c].to_numpy() for c in ("key", "salt", "sid", "n", "reach", "typical"))
         if not len(key):
             continue
         new = np.concatenate(([last != (int(key[0]), int(salt[0]))], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
         at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        first, first_n, first_reach = np.where(at >= 0, sid[at], lead), np.where(at >= 0, n[at], lead_n), np.where(at >= 0, reach[at], lead_reach)
+        first, first_n, first_reach, first_typical = (np.where(at >= 0, x[at], y) for x, y in ((sid, lead), (n, lead_n), (reach, lead_reach), (typical, lead_typical)))
         others = sid != first
         run = np.cumsum(new)
         second = np.flatnonzero(others)
@@ -251,17 +256,18 @@ def _lead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(i) + len(tell):
             both = np.concatenate((i, tell))
             own = lambda x, of_lead, i=i, tell=tell: np.concatenate((x[i], of_lead[tell]))
-            yield pd.DataFrame({"key": key[both], "salt": salt[both], "sid": own(sid, first), "n": own(n, first_n), "reach": own(reach, first_reach), "lead": first[both], "lead_n": first_n[both], "lead_reach": first_reach[both]})
+            yield pd.DataFrame({"key": key[both], "salt": salt[both], "sid": own(sid, first), "n": own(n, first_n), "reach": own(reach, first_reach), "typical": own(typical, first_typical), "lead": first[both], "lead_n": first_n[both], "lead_reach": first_reach[both]})
         tail = run == run[-1]
         told = bool(salt[-1] >= 0 or others[tail].any() or (run[-1] == 0 and told))
-        lead, lead_n, lead_reach, last = int(first[-1]), int(first_n[-1]), int(first_reach[-1]), (int(key[-1]), int(salt[-1]))
+        lead, lead_n, lead_reach, lead_typical, last = int(first[-1]), int(first_n[-1]), int(first_reach[-1]), int(first_typical[-1]), (int(key[-1]), int(salt[-1]))
 
 
-_LED = "key long, salt int, sid long, n int, reach int, lead long, lead_n int, lead_reach int"
+_INDEX = "key long, salt int, sid long, n int, reach int, typical int"
+_LED = f"{_INDEX}, lead long, lead_n int, lead_reach int"
 
 
 def _led(rows: DataFrame) -> DataFrame:
-    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInPandas(_lead, _LED)
+    return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("typical"), "sid").mapInPandas(_lead, _LED)
 
 
 def _setter(shared):
@@ -345,46 +351,44 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     for r in told.where("n < 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_sum_counts, "chunk int, counts binary").collect():
         counts[r["chunk"] * (CLASSES // CHUNKS) : (r["chunk"] + 1) * (CLASSES // CHUNKS)] = np.frombuffer(r["counts"], "<i8")
     spark = docs.sparkSession
-    index = texts.mapInPandas(_indexer(spark.sparkContext.broadcast(Order(counts))), "key long, salt int, sid long, n int, reach int")
+    index = texts.mapInPandas(_indexer(spark.sparkContext.broadcast(Order(counts))), _INDEX)
     led = common.stored(_led(index), "led")
-    # the first sets of a frequent key's salted parts are led by one of them
-    over = _led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n", "reach").distinct())
+    # the leaders of a frequent key's salted parts are led by the most typical of them, and so are their sets
+    over = common.stored(_led(led.where("salt >= 0 AND sid = lead").select("key", F.lit(-1).alias("salt"), "sid", "n", "reach", "typical").distinct()), "led-over")
+    top = common.stored(over.select("key", *[F.col(c).alias(f"top_{c}") for c in ("lead", "lead_n", "lead_reach")]).distinct(), "led-top")
+    again = led.where("salt >= 0").join(top, "key").where(_near("n", "top_lead_n", "reach", "top_lead_reach"))
     sketches = told.where("sketch IS NOT NULL").select("sid", "n", "sketch", "text_hash").join(led.select("sid").distinct(), "sid", "left_semi")
     sketches = common.stored(sketches, "sketches").dropDuplicates(["sid"])
-    first = common.stored(_pairs(led.unionByName(over).where(_near("n", "lead_n", "reach", "lead_reach")), "sid", "lead"), "led-pairs")
+    first = _pairs(led.unionByName(over).where(_near("n", "lead_n", "reach", "lead_reach")), "sid", "lead")
+    first = common.stored(first.union(_pairs(again, "sid", "top_lead")).distinct(), "led-pairs")
     links = _verified(first, sketches, texts, "links")
     parts = components(links)
-    rest = _open(led.select("key", "sid", "n", "reach").distinct(), parts, "open-first")
-    near = common.stored(_pairs(_led_again(rest), "sid", "lead").join(first, ["a", "b"], "left_anti"), "led-again")
-    if near.head(1):
-        links = common.stored(links.union(_verified(near, sketches, texts, "links-again")), "all-links")
-        parts = components(links)
-    # keys that still hold several components: all pairs across them
-    rest = _open(rest.drop("part"), parts, "open")
-    x, y = rest.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "reach", "part")]), rest.select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "reach", "part")])
-    across = _pairs(x.join(y, "key").where((F.col("part_a") < F.col("part_b")) & _near("n_a", "n_b", "reach_a", "reach_b")), "sid_a", "sid_b")
-    more = _verified(across.join(first.union(near), ["a", "b"], "left_anti"), sketches, texts, "more-links")
+    more = _verified(_across(_open(led.select("key", "sid", "n", "reach").distinct(), parts)).join(first, ["a", "b"], "left_anti"), sketches, texts, "more-links")
     return members, (components(links.union(more)) if more.head(1) else parts)
 
 
-def _open(rows: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-    """Rows of keys that hold several components, with the component of each as part."""
-    placed = rows.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
-    placed = common.stored(placed, f"{name}-placed")
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    return common.stored(placed.join(open_keys, "key", "left_semi"), name)
+def _open(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of keys that hold several components, with the component of each as part, without those that have no partner.
 
+    A set links through a key only if its reach there suffices for the smallest set of the key that it may link with.
+    """
+    placed = rows.join(parts.select(F.col("node").alias("sid"), "root"), "sid", "left").select("key", "sid", "n", "reach", F.coalesce("root", "sid").alias("part"))
+    placed = common.stored(placed, "open-placed")
+    for turn in ("first", "second"):  # what is left out the first time may have been the smallest set or the second component
+        keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("n").alias("least")).where("lo < hi")
+        keys = common.stored(keys.select("key", "least"), f"open-keys-{turn}")
+        reaches = F.col("reach").cast("long") * (DEN + NUM) * DEN >= (F.col("n") * DEN + F.greatest(F.col("n") * NUM, F.col("least") * DEN)) * NUM
+        placed = common.stored(placed.join(keys, "key").where(reaches).drop("least"), f"open-{turn}")
+    return placed
 
-def _led_again(rest: DataFrame) -> DataFrame:
-    """Every set of an open key with another leader, drawn by a hash of the key: of all its keys a set meets many leaders.
 
-    A set takes LEADERS of them; what it doesn't meet is left to the pairs across components.
-    """
-    leader = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "sid").alias("h"), "sid", "n", "reach", "part")).alias("l"))
-    met = rest.join(leader, "key").where((F.col("part") != F.col("l.part")) & _near("n", "l.n", "reach", "l.reach"))
-    met = met.groupBy("sid", F.col("l.sid").alias("lead")).agg(F.count("*").alias("shared"))
-    nth = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("shared"), F.xxhash64("sid", "lead")))
-    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select("sid", "lead")
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of near sets of different components that meet in a key: what is outside its largest one with all."""
+    sizes = rows.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("largest"))
+    sizes = common.stored(sizes, "open-largest")
+    minor = common.stored(rows.join(sizes, "key").where("part <> largest").select("key", *[F.col(c).alias(f"{c}_b") for c in ("sid", "n", "reach", "part")]), "open-minor")
+    j = rows.select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "reach", "part")]).join(minor, "key")
+    return common.stored(_pairs(j.where((F.col("part_a") != F.col("part_b")) & _near("n_a", "n_b", "reach_a", "reach_b")), "sid_a", "sid_b"), "across")
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -393,6 +397,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     m = members.join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("part"))
     m = common.stored(m, "parts")
     first = m.where("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash")).alias("first"))
+    first = common.stored(first, "firsts")  # so that both sides are dealt for the join, and large parts can be split
     out = m.join(first, "part", "left")
     alone = F.col("part").isNull()
     same = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_hash").eqNullSafe(F.col("first"))
