@@ -34,6 +34,8 @@ def table():
     texts += ["write to a.b+c@mail.example.org, or x@y@z.de or +1 (974) 555-3436. " + prose(8), "10.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 4111 1111 1111 1111 4111-1111-1111-1112", "A a a a\nA a a a\n" + "r s t u v w x y " * 4]
     texts += ["the und die der nicht und die", "le la les de une pour", "z" * 5000, "ab " * 3000, "<|endoftext|> tail", "tab\tand  space  twice"]
     rows = [(i * 3, t, ["en", "de", None][i % 3], ["s1", "s2", None, "s0"][i % 4], len(t or "")) for i, t in enumerate(texts)]
+    passage = prose(70)
+    rows += [(3000 + i, prose(20) + " " + passage + " " + prose(30), "en", "s1", 1) for i in range(3)]
     return [*rows, (None, base, None, None, 1), (None, None, None, None, None), rows[8], rows[20]], item
 
 
@@ -290,18 +292,28 @@ def test_language_accuracy(spark):
     assert got["a"] > 0.95
 
 
-def test_suffixes(spark, sf, monkeypatch):
-    n = suffix_dedup.LENGTH
-    raw = [(t or "").encode() for _, t, *_ in sf[1]]
+def repeated(raw, n):
+    """A mask of the bytes of each text that a string of n bytes covers that is there twice."""
     c = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
-    want = []
-    for (d, *_), b in zip(sf[1], raw, strict=True):
+    out = []
+    for b in raw:
         gone = np.zeros(len(b) + 1, bool)
         for i in range(len(b) - n + 1):
             if c[b[i : i + n]] > 1:
                 gone[i : i + n] = True
+        out.append(gone)
+    return out
+
+
+def test_suffixes(spark, sf, monkeypatch):
+    raw = [(t or "").encode() for _, t, *_ in sf[1]]
+    want = []
+    for (d, *_), b, gone, told in zip(sf[1], raw, repeated(raw, suffix_dedup.LENGTH), repeated(raw, suffix_dedup.PASSAGE), strict=True):
         rest = bytes(x for x, g in zip(b, gone, strict=False) if not g)
-        want.append((d, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest()))
+        edge = np.flatnonzero(np.diff(told.astype(int), prepend=0, append=0))
+        passages = sum(len(b[x:y].split()) > suffix_dedup.WORDS for x, y in zip(edge[::2], edge[1::2], strict=True))
+        want.append((d, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(rest).hexdigest(), passages))
+    assert sum(w[5] > 0 and not w[2] for w in want)  # a passage under LENGTH bytes is told and stays
     same([tuple(r) for r in suffix_dedup.op9(spark, sf[0]).collect()], want)
     monkeypatch.setattr(suffix_dedup, "CROWD", 1)
     same([tuple(r) for r in suffix_dedup.op9(spark, sf[0]).collect()], want)

@@ -1,21 +1,24 @@
 """Exact removal of repeated byte strings by external induced sorting of sampled suffixes.
 
-A string of LENGTH bytes that starts at two places is found as follows.
+A string of LENGTH bytes that starts at two places is found as follows, and in the same pass every string of PASSAGE bytes.
 
-1. Sampling. Of the SPAN + 1 grams of GRAM bytes inside a string the one with the least hash is its anchor, so equal
-   strings have equal anchors at equal offsets. An anchor owns the run of string starts that chose it, and about one
-   byte in a hundred is an anchor. Suffix tuples (gram hash, text, place, owned run) go through Spark's spilling sorts,
+1. Sampling. Of the SPAN + 1 grams of GRAM bytes in a string's first PASSAGE bytes the one with the least hash is its
+   anchor, so equal strings have equal anchors at equal offsets. An anchor owns the run of string starts that chose it,
+   and about one byte in fifty is an anchor. Suffix tuples (gram hash, text, place, owned run) go through Spark's spilling sorts,
    which are the disk-backed queues here; only tuples whose gram occurs elsewhere go on.
 2. Anchors with equal grams and equal owned bytes are one class: if a class has two places, all of its owned strings
    repeat. Copies of any number are thereby settled with partial aggregates.
 3. Classes that share a gram are sorted externally by what follows the anchor, and the common prefixes of neighbours are
    taken. From that order the order of the suffixes one byte further left is induced, again and again: a stable
    distribution by the preceding byte, the common prefix growing by one where it is equal and taking the least of the
-   values between. An anchor's string at offset l repeats where a neighbour's common prefix reaches LENGTH.
+   values between. An anchor's string at offset l repeats where a neighbour's common prefix reaches LENGTH (or PASSAGE).
    Grams with more than CROWD classes are not held in a task: their owned strings are counted by hash instead.
 
 Texts are worked on once for each distinct text (64-bit hash); a text that is there twice repeats in full.
 
+What is removed are the strings of LENGTH bytes. Runs of repeated strings of PASSAGE bytes that have more than WORDS words
+are counted as passages and stay.
+
 Defined results: null and empty texts have no bytes; texts under LENGTH bytes keep them all; matches never cross rows;
 repeated rows are copies of each other and lose everything (if LENGTH bytes or more); an empty table gives no rows;
 extra columns are not read.
@@ -34,8 +37,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 400
-GRAM = 200
-SPAN = LENGTH - GRAM
+#: Strings of this length are told too: a passage of over WORDS words has rarely less.
+PASSAGE, WORDS = 250, 50
+GRAM = 150
+SPAN = PASSAGE - GRAM
 CHUNK = 1 << 20
 #: Tuples induced at a time in a task, and classes of one gram beyond which strings are counted by hash.
 HELD = 20_000
@@ -85,7 +90,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Anchors of texts of LENGTH bytes or more -> (text number, place, first and last owned start, gram, owned bytes' hash)."""
+    """Anchors of texts of PASSAGE bytes or more -> (text number, place, first and last owned start, end of the owned bytes, gram, their hash)."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(lens)
@@ -95,14 +100,15 @@ def anchors(raw: list[bytes]) -> tuple[np.ndarray, ...]:
     keys = ((gram >> place) << place) | np.arange(len(gram), dtype=np.uint64)  # on a tie the first place
     least = (_least(keys, SPAN + 1) & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
     text = np.repeat(np.arange(len(raw)), lens)[: len(least)]
-    starts = np.flatnonzero(np.arange(len(least)) + LENGTH <= ends[text])
+    starts = np.flatnonzero(np.arange(len(least)) + PASSAGE <= ends[text])
     least, text = least[starts], text[starts]
     new = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (text[1:] != text[:-1]))))
     last = np.concatenate((new[1:], [len(starts)])) - 1
     s, e, pos, text = starts[new], starts[last], least[new], text[new]
-    owned = _mix(h.of(s, e + LENGTH) + (pos - s).astype(np.uint64) * np.uint64(1_000_003) + (e - s).astype(np.uint64))
+    to = np.minimum(e + LENGTH, ends[text])
+    owned = _mix(h.of(s, to) + (pos - s).astype(np.uint64) * np.uint64(1_000_003) + (e - s).astype(np.uint64))
     base = (ends - lens)[text]
-    return text, pos - base, s - base, e - base, gram[pos], owned
+    return text, pos - base, s - base, e - base, to - base, gram[pos], owned
 
 
 def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,13 +118,13 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
 
     def flush() -> pd.DataFrame:
-        text, pos, s, e, gram, owned = anchors(raw)
-        return pd.DataFrame({"gram": gram.view(np.int64), "owned": owned.view(np.int64), "t": np.array(names, np.int64)[text], "pos": pos.astype(np.int32), "s": s.astype(np.int32), "e": e.astype(np.int32)})
+        text, pos, s, e, to, gram, owned = anchors(raw)
+        return pd.DataFrame({"gram": gram.view(np.int64), "owned": owned.view(np.int64), "t": np.array(names, np.int64)[text], "pos": pos.astype(np.int32), "s": s.astype(np.int32), "e": e.astype(np.int32), "to": to.astype(np.int32)})
 
     for batch in batches:
         for t, text in zip(batch["t"].tolist(), batch["text"], strict=True):
             b = text.encode("utf-8", "surrogatepass")
-            if len(b) >= LENGTH and t not in seen:
+            if len(b) >= PASSAGE and t not in seen:
                 seen.add(t)
                 names.append(t)
                 raw.append(b)
@@ -130,13 +136,13 @@ def _sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def induce(gram: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows in order of (gram, after) -> least and greatest offset at which the row's string repeats in its gram, or -1.
+def induce(gram: np.ndarray, before: list[bytes], after: list[bytes], lengths: tuple[int, ...] = (LENGTH, PASSAGE)) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows in order of (gram, after) -> least and greatest offset at which the row's string of each length repeats in its gram, or -1.
 
     lcp[j] is the common prefix of the rows at places j - 1 and j of the order.
     """
     n = len(gram)
-    low, high = np.full(n, -1), np.full(n, -1)
+    out = [(np.full(n, -1), np.full(n, -1)) for _ in lengths]
     size = np.fromiter(map(len, after), np.int64, n)
     right = np.zeros((n, LENGTH + 1), np.uint8)
     for i, b in enumerate(after):
@@ -153,10 +159,11 @@ def induce(gram: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[n
         lcp[1:n] = np.where(group[1:] == group[:-1], np.minimum(first, np.minimum(size[1:], size[:-1])), 0)
     order = np.arange(n)
     for offset in range(SPAN + 1):
-        again = np.maximum(lcp[: len(order)], lcp[1 : len(order) + 1]) >= LENGTH
-        rows = order[again]
-        low[rows] = np.where(low[rows] < 0, offset, low[rows])
-        high[rows] = offset
+        common_to = np.maximum(lcp[: len(order)], lcp[1 : len(order) + 1])
+        for length, (low, high) in zip(lengths, out, strict=True):
+            rows = order[common_to >= length]
+            low[rows] = np.where(low[rows] < 0, offset, low[rows])
+            high[rows] = offset
         alive = np.flatnonzero(left_size[order] > offset)
         if len(alive) < 2:
             break
@@ -171,7 +178,7 @@ def induce(gram: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[n
         grown = np.zeros(len(old) + 1, np.int64)
         grown[same + 1] = np.minimum.reduceat(lcp, ranges)[::2] + 1
         order, lcp = rows[turn], grown
-    return low, high
+    return out
 
 
 def _induced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,10 +187,16 @@ def _induced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     count = 0
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        low, high = induce(d["gram"].to_numpy(), d["before"].tolist(), d["after"].tolist())
-        d = d.assign(low=low, high=high)
-        d = d[(d["low"] >= 0) & d["single"]]
-        return pd.DataFrame({"t": d["t"], "start": (d["pos"] - d["high"]).astype(np.int32), "end": (d["pos"] - d["low"] + LENGTH).astype(np.int32)})
+        found, within = [], np.zeros(len(d), bool)
+        both = induce(d["gram"].to_numpy(), d["before"].tolist(), d["after"].tolist())
+        for length, (low, high) in zip((LENGTH, PASSAGE), both, strict=True):
+            at = np.flatnonzero((low >= 0) & d["single"].to_numpy() & ~within)
+            pos = d["pos"].to_numpy()[at]
+            if length == LENGTH:  # what reaches no further for PASSAGE is left out there
+                low_short, high_short = both[1]
+                within = (low >= 0) & (high_short == high) & (low_short + LENGTH - PASSAGE >= low)
+            found.append(pd.DataFrame({"t": d["t"].to_numpy()[at], "start": (pos - high[at]).astype(np.int32), "end": (pos - low[at] + length).astype(np.int32), "whole": length == LENGTH}))
+        return pd.concat(found)
 
     for batch in batches:
         held.append(batch)
@@ -200,55 +213,63 @@ def _induced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The hash of every owned string of each row."""
+    """The hash of every owned string of each row, for both lengths."""
     for batch in batches:
         for k in range(0, len(batch), 2000):
             b = batch.iloc[k : k + 2000]
             raw = [x[::-1] + y for x, y in zip(b["before"], b["after"], strict=True)]
             lens = np.fromiter(map(len, raw), np.int64, len(raw))
             first = np.cumsum(lens) - lens
-            own = lens - LENGTH + 1
-            row = np.repeat(np.arange(len(raw)), own)
-            offset = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
             h = Hashes(np.frombuffer(b"".join(raw), np.uint8))
-            at = first[row] + offset
-            start = b["pos"].to_numpy()[row] - np.fromiter(map(len, b["before"]), np.int64, len(raw))[row] + offset
-            yield pd.DataFrame({"string": h.of(at, at + LENGTH).view(np.int64), "t": b["t"].to_numpy()[row], "start": start.astype(np.int32), "single": b["single"].to_numpy()[row]})
+            left = b["pos"].to_numpy() - np.fromiter(map(len, b["before"]), np.int64, len(raw))
+            for length in (LENGTH, PASSAGE):
+                own = np.clip(np.minimum(lens - length + 1, b["own"].to_numpy()), 0, None)
+                row = np.repeat(np.arange(len(raw)), own)
+                offset = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+                at = first[row] + offset
+                yield pd.DataFrame({"string": h.of(at, at + length).view(np.int64), "t": b["t"].to_numpy()[row], "start": (left[row] + offset).astype(np.int32), "single": b["single"].to_numpy()[row], "whole": length == LENGTH})
 
 
 def _crowded(regions: DataFrame) -> DataFrame:
-    """(t, start, end) of repeated strings by counting: partial aggregates settle however many equal ones."""
-    s = regions.mapInPandas(_strings, "string long, t long, start int, single boolean")
+    """(t, start, end, whole) of repeated strings by counting: partial aggregates settle however many equal ones."""
+    s = regions.mapInPandas(_strings, "string long, t long, start int, single boolean, whole boolean")
     s = common.stored(s.withColumn("o", F.xxhash64("t", "start")), "suffix-strings")
-    again = s.groupBy("string").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("string")
-    return s.where("single").join(again, "string", "left_semi").groupBy("t", "start").agg((F.first("start") + LENGTH).alias("end"))
+    again = s.groupBy("string", "whole").agg(F.min("o").alias("a"), F.max("o").alias("b")).where("a < b").select("string", "whole")
+    length = F.when(F.col("whole"), LENGTH).otherwise(PASSAGE)
+    return s.where("single").join(again, ["string", "whole"], "left_semi").groupBy("t", "start", "whole").agg(F.first("start").alias("x")).select("t", "start", (F.col("x") + length).alias("end"), "whole")
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(t, spans): the byte ranges of repeated strings of each distinct text, by its hash; null spans: the whole text."""
+    """(t, long, short): byte ranges of repeated strings of LENGTH, and of PASSAGE bytes beyond these, of each distinct text by its hash.
+
+    A range is one number: its start times 2**32 and its end.
+    """
     common.bounded_batches(docs.sparkSession)
-    texts = docs.select(F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).where(F.octet_length("text") >= LENGTH)
-    a = texts.mapInPandas(_sample, "gram long, owned long, t long, pos int, s int, e int").withColumn("o", F.xxhash64("t", "pos"))
+    texts = docs.select(F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).where(F.octet_length("text") >= PASSAGE)
+    a = texts.mapInPandas(_sample, "gram long, owned long, t long, pos int, s int, e int, to int").withColumn("o", F.xxhash64("t", "pos"))
     a = common.stored(a, "suffix-anchors")
     twice = a.groupBy("gram").agg(F.min("o").alias("x"), F.max("o").alias("y")).where("x < y").select("gram")
     a = common.stored(a.join(twice, "gram", "left_semi"), "suffix-candidates")
-    kinds = a.groupBy("gram", "owned").agg(F.min("o").alias("x"), F.max("o").alias("y"), F.min(F.struct("t", "pos", "s", "e")).alias("at"))
+    kinds = a.groupBy("gram", "owned").agg(F.min("o").alias("x"), F.max("o").alias("y"), F.min(F.struct("t", "pos", "s", "e", "to")).alias("at"))
     kinds = common.stored(kinds.select("gram", "owned", (F.col("x") == F.col("y")).alias("single"), "at"), "suffix-classes")
-    whole = a.join(kinds.where("NOT single").select("gram", "owned"), ["gram", "owned"], "left_semi").select("t", F.col("s").alias("start"), (F.col("e") + LENGTH).alias("end"))
+    equal = a.join(kinds.where("NOT single").select("gram", "owned"), ["gram", "owned"], "left_semi")
+    large = F.col("to") - F.col("s") >= LENGTH  # then the strings of PASSAGE bytes are within
+    equal = equal.select("t", F.col("s").alias("start"), F.when(large, F.col("to")).otherwise(F.col("e") + PASSAGE).alias("end"), large.alias("whole"))
     many = kinds.groupBy("gram").agg(F.count("*").alias("n"), F.max("single").alias("open")).where("n > 1 AND open").select("gram", (F.col("n") > CROWD).alias("crowd"))
-    wanted = kinds.join(many, "gram").select("at.t", F.struct("gram", "at.t", "at.pos", "at.s", "at.e", "single").alias("run"), "crowd")
+    wanted = kinds.join(many, "gram").select("at.t", F.struct("gram", "at.t", "at.pos", "at.s", "at.e", "at.to", "single").alias("run"), "crowd")
     wanted = wanted.groupBy("t").agg(F.collect_list("run").alias("runs"), F.collect_set(F.when(F.col("crowd"), F.col("run.gram"))).alias("crowded"))  # runs of one text
     one = texts.join(wanted, "t")
     regions = common.stored(one.mapInPandas(_cut_known, _REGION), "suffix-regions").dropDuplicates(["t", "pos"])
     calm = regions.where("NOT crowd").drop("crowd")
-    near = calm.repartition("gram").sortWithinPartitions("gram", "after").mapInPandas(_induced, "t long, start int, end int")
-    found = whole.unionByName(near)
+    near = calm.repartition("gram").sortWithinPartitions("gram", "after").mapInPandas(_induced, "t long, start int, end int, whole boolean")
+    found = equal.unionByName(near)
     if regions.where("crowd").head(1):
         found = found.unionByName(_crowded(regions.where("crowd").drop("crowd")))
-    return found.groupBy("t").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    packed = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
+    return found.groupBy("t").agg(F.collect_list(F.when(F.col("whole"), packed)).alias("long"), F.collect_list(F.when(~F.col("whole"), packed)).alias("short"))
 
 
-_REGION = "gram long, t long, pos int, single boolean, before binary, after binary, crowd boolean"
+_REGION = "gram long, t long, pos int, own int, single boolean, before binary, after binary, crowd boolean"
 
 
 def _cut_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -260,38 +281,48 @@ def _cut_known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             seen.add(t)
             b, crowd = text.encode("utf-8", "surrogatepass"), set(crowded)
-            yield pd.DataFrame([(r["gram"], t, r["pos"], r["single"], b[r["s"] : r["pos"]][::-1], b[r["pos"] : r["e"] + LENGTH], r["gram"] in crowd) for r in runs], columns=["gram", "t", "pos", "single", "before", "after", "crowd"])
+            yield pd.DataFrame([(r["gram"], t, r["pos"], r["e"] - r["s"] + 1, r["single"], b[r["s"] : r["pos"]][::-1], b[r["pos"] : r["to"]], r["gram"] in crowd) for r in runs], columns=["gram", "t", "pos", "own", "single", "before", "after", "crowd"])
+
 
+def _merged(ranges: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs of packed ranges; those that touch are one."""
+    if not len(ranges):
+        return []
+    ranges = np.sort(ranges)
+    start, end = ranges >> 32, np.maximum.accumulate(ranges & 0xFFFFFFFF)
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+    return list(zip(start[new].tolist(), end[np.append(new[1:] - 1, len(end) - 1)].tolist(), strict=True))
 
-def _kept(texts: pd.Series, spans: pd.Series, copies: pd.Series) -> pd.DataFrame:
+
+def _kept(texts: pd.Series, longs: pd.Series, shorts: pd.Series, copies: pd.Series) -> pd.DataFrame:
     out = []
-    for text, ranges, copy in zip(texts, spans, copies, strict=True):
+    none = np.zeros(0, np.int64)
+    for text, long, short, copy in zip(texts, longs, shorts, copies, strict=True):
         b = (text or "").encode("utf-8", "surrogatepass")
-        if len(b) >= LENGTH and copy:
-            out.append((len(b), len(b), 1, hashlib.sha256(b"").hexdigest()))
-            continue
-        keep, at, n = [], 0, 0
-        if ranges is not None:
-            end = -1
-            for r in sorted((r["start"], r["end"]) for r in ranges):
-                if r[0] > end:
-                    n += 1
-                    keep.append(b[at : r[0]])
-                end = at = max(end, r[1])
+        long, short = (none if x is None else x for x in (long, short))
+        gone = [(0, len(b))] if copy and len(b) >= LENGTH else _merged(long)
+        told = [(0, len(b))] if copy and len(b) >= PASSAGE else _merged(np.concatenate((long, short)))
+        keep, at = [], 0
+        for x, y in gone:
+            keep.append(b[at:x])
+            at = y
         rest = b"".join([*keep, b[at:]])
-        out.append((len(b), len(b) - len(rest), n, hashlib.sha256(rest).hexdigest()))
-    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        out.append((len(b), len(b) - len(rest), len(gone), hashlib.sha256(rest).hexdigest(), sum(len(b[x:y].split()) > WORDS for x, y in told)))
+    return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages"])
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passages of every row.
+
+    n_passages counts the maximal runs of repeated strings of PASSAGE bytes that have more than WORDS words.
+    """
     d = docs.select(docs[doc_id].alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
     spans = repeats(d)
     copies = d.select(F.xxhash64("text").alias("t")).groupBy("t").count().where("count > 1").select("t", F.lit(True).alias("copy"))
     known = common.stored(spans.join(copies, "t", "full"), "suffix-spans")
     j = d.withColumn("t", F.xxhash64("text")).join(known, "t", "left")
-    kept = F.pandas_udf(_kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return j.select("doc_id", kept("text", "spans", F.coalesce("copy", F.lit(False))).alias("k")).select("doc_id", "k.*")
+    kept = F.pandas_udf(_kept, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long")
+    return j.select("doc_id", kept("text", "long", "short", F.coalesce("copy", F.lit(False))).alias("k")).select("doc_id", "k.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
