@@ -243,6 +243,42 @@ def test_pii(spark, sf):
     assert len(pii.op6(spark, sf[0]).collect()) == len(sf[1])
 
 
+def luhn(n):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(n)))) % 10 == 0
+
+
+def base_spans(text):
+    number = lambda m: re.sub("[^0-9]", "", m)
+    rules = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(number(m)) <= 19 and luhn(number(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(number(m)) <= 15),
+    )
+    found = [(m.start(), k, m.end()) for k, (_, rule, good) in enumerate(rules) for m in re.finditer(rule, text or "") if good(m[0])]
+    return [f"{rules[k][0]}:{a}:{b}" for a, k, b in sorted(found)]
+
+
+@pytest.mark.parametrize("real", [False, True])
+def test_pii_base_spans(spark, sf, real):
+    d = "/root/testdata/sf0.01" if real else sf[0]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    want = [(i, hashlib.sha256(",".join(x).encode()).hexdigest(), *(sum(y.startswith(k) for y in x) for k in pii.KINDS)) for i, t in rows for x in [base_spans(t)]]
+    got = pii.op6(spark, d).collect()
+    same([(r["doc_id"], r["base_sha256"], *(r[f"n_{k}"] for k in pii.KINDS)) for r in got], want)
+    if real:  # patterns find identifiers in the test tables, and every one is a number after a token sign
+        texts = dict(rows)
+        added = [(r["doc_id"], s) for r in got for s in r["spans"].split(",") if r["n_added"] and s not in base_spans(texts[r["doc_id"]])]
+        assert added and all(re.fullmatch("[0-9a-f]{40}", texts[i][int(a) : int(b)]) for i, s in added for _, a, b in [s.split(":")])
+
+
+def test_pii_secrets_need_a_context(spark):
+    value = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'so the token = "{value(i)}" was lost') for i in range(6)] + [(50, 'my token = "Zx81-33aq-7720" is here'), (51, f"commit {value(99)} was here")]
+    got = {r["doc_id"]: [x["kind"] for x in r["spans"]] for r in pii.extract(spark.createDataFrame(rows, "doc_id int, text string")).selectExpr("doc_id", "spans").collect()}
+    assert all(got[i] == [4] for i in (*range(6), 50)) and not got[51]
+
+
 def test_pii_learns_a_pattern(spark):
     rows = [(i, f"and so my phone is +1 (20{i}) 555-343{i} ok") for i in range(8)] + [(50, "and so my phone is 5553-4367 ok"), (51, "room 5553-4367x here")]
     got = {r["doc_id"]: r["spans"] for r in pii.extract(spark.createDataFrame(rows, "doc_id int, text string")).selectExpr("doc_id", "spans").collect()}

@@ -1,7 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base patterns find e-mail addresses, IP addresses, cards and phone numbers: the seeds. The two and the three words before
-an entity are its lexical patterns. A pattern-instance graph is scored in rounds: a pattern's confidence is the mean
+Base patterns find e-mail addresses, IP addresses, cards and phone numbers: the seeds. Long hexadecimal numbers are seeds
+of secrets, which are spans only if a trusted pattern precedes them. The two and the three words before an entity are its
+lexical patterns. A pattern-instance graph is scored in rounds: a pattern's confidence is the mean
 score of the distinct identifiers it precedes (seeds have score 1), an unseen identifier's score is that of its best
 pattern. Patterns with enough seeds and confidence add the identifiers they precede to the spans.
 
@@ -21,6 +22,9 @@ from . import common
 from .quality_rules import let
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of spans: what the patterns add may also be a secret.
+NAMES = (*KINDS, "secret")
+SECRET = r"^(?=[0-9]*[a-f])[0-9a-f]{32,}\z"
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -92,14 +96,14 @@ def base_spans(text: Column) -> Column:
 
 
 def joined(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in NAMES])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def unseen(text: Column, spans: Column) -> Column:
-    """Identifiers outside the base spans, as spans without a kind."""
+    """Identifiers outside the base spans, as spans without a kind, but for the seeds of secrets."""
     good = lambda s: (F.length(digits(s["m"])) >= LEAST_DIGITS) & (F.length(s["m"]) >= LEAST_LENGTH) & ~F.exists(spans, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    out = F.transform(F.filter(placed(text, IDENTIFIER), good), lambda s: F.struct(s["start"].alias("start"), F.lit(None).cast("int").alias("kind"), s["end"].alias("end"), s["m"].alias("m")))
+    out = F.transform(F.filter(placed(text, IDENTIFIER), good), lambda s: F.struct(s["start"].alias("start"), F.when(s["m"].rlike(SECRET), len(KINDS)).alias("kind"), s["end"].alias("end"), s["m"].alias("m")))
     return F.when(text.rlike(r"[0-9]{2}|[0-9][A-Za-z_.@+-]+[0-9]"), out).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,m:string>>"))
 
 
@@ -126,7 +130,7 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         found = graph.join(conf.where(F.col("seeds") >= SUPPORT).select("pattern", "confidence"), "pattern", "left")
         score = common.stored(found.groupBy("value").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.coalesce("confidence", F.lit(0.0)))).alias("score")), f"pii-scores-{k}")
     trusted = conf.where((F.col("seeds") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "most")
-    new = edges.where("kind IS NULL").join(trusted, "pattern").groupBy("row", "start", "end").agg(F.min("most").alias("kind"))
+    new = edges.where(F.col("kind").isNull() | (F.col("kind") == len(KINDS))).join(trusted, "pattern").groupBy("row", "start", "end").agg(F.min("most").alias("kind"))
     new = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("new"))  # of one document
     bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     out = d.join(new, "row", "left").withColumn("bare", bare)
@@ -137,4 +141,4 @@ def op6(spark, sf_dir: str) -> DataFrame:
     found = extract(common.documents(spark, sf_dir))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"), F.size("spans").cast("long").alias("n_spans"))

@@ -246,11 +246,13 @@ def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     common.bounded_batches(docs.sparkSession)
     texts = docs.select(F.xxhash64(docs[text]).alias("t"), docs[text].alias("text")).where(F.octet_length("text") >= PASSAGE)
-    a = texts.mapInPandas(_sample, "gram long, owned long, t long, pos int, s int, e int, to int").withColumn("o", F.xxhash64("t", "pos"))
+    a = texts.mapInPandas(_sample, "gram long, owned long, t long, pos int, s int, e int, to int")
     a = common.stored(a, "suffix-anchors")
-    twice = a.groupBy("gram").agg(F.min("o").alias("x"), F.max("o").alias("y")).where("x < y").select("gram")
+    place = F.xxhash64("t", "pos")
+    twice = a.groupBy("gram").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x < y").select("gram")
+    twice = common.stored(twice, "suffix-grams")  # so that both sides are dealt for the join, and a hot gram can be split
     a = common.stored(a.join(twice, "gram", "left_semi"), "suffix-candidates")
-    kinds = a.groupBy("gram", "owned").agg(F.min("o").alias("x"), F.max("o").alias("y"), F.min(F.struct("t", "pos", "s", "e", "to")).alias("at"))
+    kinds = a.groupBy("gram", "owned").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.min(F.struct("t", "pos", "s", "e", "to")).alias("at"))
     kinds = common.stored(kinds.select("gram", "owned", (F.col("x") == F.col("y")).alias("single"), "at"), "suffix-classes")
     equal = a.join(kinds.where("NOT single").select("gram", "owned"), ["gram", "owned"], "left_semi")
     large = F.col("to") - F.col("s") >= LENGTH  # then the strings of PASSAGE bytes are within
