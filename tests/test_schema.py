@@ -111,7 +111,7 @@ def test_json_schema_round_trip(doc):
 
 def test_json_schema_refs():
     s = jsonschema.extract({"$ref": "#/$defs/p", "$defs": {"p": {"minimum": 1}}})
-    assert s == S.Bound(">=", 1)
+    assert s == S.MatchIf(S.Kind("number"), S.Bound(">=", 1), S.Any())
     with pytest.raises(ValueError):
         jsonschema.extract({"unheardOf": 1})
 
@@ -120,3 +120,50 @@ def test_types():
     t = S.to_type(S.struct(a=INT, b_opt=S.Kind("string"), c=S.ListOf(rest=S.Kind("float"))))
     assert t.simpleString() == "struct<a:bigint,b:string,c:array<double>>"
     assert S.subsumes(S.from_type(t), S.from_type(t))
+
+
+def test_kinds_are_checked(spark):
+    df = spark.createDataFrame([(1, "7", 1.5, [1]), (2, "x", 2.0, [])], "i int, s string, d double, l array<int>")
+    bad = lambda s: [sorted((v["path"], v["code"]) for v in r["violations"]) for r in S.vet(df, s).orderBy("i").collect()]
+    assert bad(S.struct(i=S.Kind("string"), s=INT, d=INT, l=S.struct(x=INT))) == [[("d", "kind"), ("i", "kind"), ("l", "kind"), ("s", "kind")], [("i", "kind"), ("l", "kind"), ("s", "kind")]]
+    assert bad(S.struct(i=S.Kind("number"), s=S.Kind("string"), d=S.Kind("number"), l=S.Kind("list"))) == [[], []]
+    assert bad(S.struct(s=S.Bound(">=", 5), i=S.Bound("=~", "a"))) == [[("i", "bound"), ("s", "bound")]] * 2
+    dynamic = df.orderBy("i").select(S.matches(INT, df["d"]).alias("d"), S.matches(INT, df["s"]).alias("s"), S.matches(S.Bound(">=", 5), df["s"]).alias("b"), S.matches(S.Const(7), df["s"]).alias("c")).collect()
+    assert [tuple(r) for r in dynamic] == [(False, False, False, False), (True, False, False, False)]
+
+
+def test_variants(spark):
+    df = spark.sql("SELECT parse_json(x) AS v, n FROM VALUES ('1', 0), ('\"a\"', 1), ('[1]', 2), ('2.5', 3) AS t(x, n)").orderBy("n")
+    t = df.schema["v"].dataType
+    got = df.select(*[S.matches(s, df["v"], t).alias(str(i)) for i, s in enumerate((INT, S.Kind("string"), S.Kind("list"), S.Bound(">", 2)))]).collect()
+    assert [tuple(r) for r in got] == [(True, False, False, False), (False, True, False, False), (False, False, True, False), (False, False, False, True)]
+
+
+def test_nested_patterns_and_closedness(spark):
+    df = spark.createDataFrame([((1, 2, 3),), ((5, None, None),)], "a struct<x1:int,x2:int,y:int>")
+    s = S.struct(a=S.Struct((), (("^x", S.Bound("<", 2)),), True))
+    got = [sorted((v["path"], v["code"]) for v in r["violations"]) for r in S.vet(df, s).collect()]
+    assert got == [[("a.x2", "bound"), ("a.y", "closed")], [("a.x1", "bound")]]
+    assert [[v["path"] for v in r["violations"]] for r in S.vet(df, S.struct(True, b_opt=INT)).collect()] == [["a"], ["a"]]
+
+
+@pytest.mark.parametrize(
+    ("doc", "good"),
+    [
+        ({"minProperties": 2}, [0]), ({"maxProperties": 1}, [1, 2]), ({"propertyNames": {"pattern": "^[ab]$"}}, [0, 1]), ({"dependentRequired": {"a": ["b"]}}, [0, 2]), ({"dependencies": {"a": {"required": ["b"]}}}, [0, 2]),
+        ({"type": "object", "properties": {"a": {}}, "additionalProperties": {"minimum": 4}}, [1, 2]), ({"properties": {"a": {"type": "string"}}}, [2]), ({"properties": {"a": {"minLength": 9}}}, [0, 1, 2]), ({"type": "array"}, []),
+    ],
+)
+def test_json_schema_object_keywords(spark, doc, good):
+    df = spark.createDataFrame([(0, (1, 2, None)), (1, (1, None, None)), (2, (None, None, 5))], "n int, o struct<a:int,b:int,c:int>")
+    s = jsonschema.extract(doc)
+    assert [r["n"] for r in df.where(S.matches(s, df["o"], df.schema["o"].dataType)).orderBy("n").collect()] == good
+
+
+def test_json_schema_lists_and_recursion(spark):
+    df = spark.createDataFrame([(0, [1, 2]), (1, [7, 8, 9]), (2, [])], "n int, l array<int>")
+    good = lambda doc: [r["n"] for r in df.where(S.matches(jsonschema.extract(doc), df["l"], df.schema["l"].dataType)).orderBy("n").collect()]
+    assert good({"contains": {"minimum": 7}}) == [1] and good({"contains": {"minimum": 7}, "maxContains": 2, "minContains": 0}) == [0, 2]
+    assert good({"items": [{"minimum": 0}], "additionalItems": {"minimum": 8}}) == [1, 2]
+    with pytest.raises(ValueError, match="recursive"):
+        jsonschema.extract({"properties": {"next": {"$ref": "#"}}})

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def mod(x: Column, y: Column) -> Column: return F.when(y != 0, F.pmod(x, F.abs(y)))  # noqa: E704
-def div(x: Column, y: Column) -> Column: return F.when(y != 0, ((x - mod(x, y)) / F.when(y != 0, y)).cast("long"))  # noqa: E704
+def div(x: Column, y: Column) -> Column: return F.when(y != 0, F.try_subtract(quo(x, y), F.when(rem(x, y) < 0, F.signum(y.cast("double")).cast("long")).otherwise(0)))  # noqa: E704
 def rem(x: Column, y: Column) -> Column: return F.try_mod(x, y)  # noqa: E704
-def quo(x: Column, y: Column) -> Column: return F.when(y != 0, ((x - F.try_mod(x, y)) / F.when(y != 0, y)).cast("long"))  # noqa: E704
+def quo(x: Column, y: Column) -> Column:
+    """Integer division towards zero, exact over all 64 bits (null beyond them)."""
+    return F.call_function("div", x, F.when((y != 0) & ~((x.cast("long") == F.lit(-(2**63))) & (y == -1)), y))
 
 
 # lists
@@ -35,7 +37,7 @@ def flatten(a: Column, depth: int) -> Column:
     return a
 def concat(*a): return F.concat(*a)  # noqa: E704
 def repeat(a: Column, n: int) -> Column: return F.flatten(F.array_repeat(a, n))  # noqa: E704
-def range_(start: int, limit: int, step: int) -> Column: return F.sequence(F.lit(start), F.lit(limit - (1 if step > 0 else -1)), F.lit(step))  # noqa: E704
+def range_(start: int, limit: int, step: int) -> Column: return F.array(*map(F.lit, range(start, limit, step))) if not (limit - start) * step > 0 or abs(limit - start) <= 16 * abs(step) else F.sequence(F.lit(start), F.lit(start + (len(range(start, limit, step)) - 1) * step), F.lit(step))  # noqa: E704
 def contains(a: Column, x) -> Column: return F.coalesce(F.array_contains(a, x), F.lit(False))  # noqa: E704
 def min_items(a: Column, n: int) -> Column: return F.size(a) >= n  # noqa: E704
 def max_items(a: Column, n: int) -> Column: return F.size(a) <= n  # noqa: E704
@@ -52,7 +54,7 @@ def trunc(x: Column) -> Column: return F.when(x < 0, F.ceil(x)).otherwise(F.floo
 def round_half_away(x: Column) -> Column: return F.signum(x) * F.floor(F.abs(x) + 0.5)  # noqa: E704
 def round_to_even(x: Column) -> Column: return F.rint(x)  # noqa: E704
 def dim(x: Column, y: Column) -> Column: return F.greatest(x - y, F.lit(0.0))  # noqa: E704
-def copysign(x: Column, y: Column) -> Column: return F.when(y < 0, -F.abs(x)).otherwise(F.abs(x))  # noqa: E704
+def copysign(x: Column, y: Column) -> Column: return F.when(signbit(y), -F.abs(x)).otherwise(F.abs(x))  # noqa: E704
 def cbrt(x): return F.cbrt(x)  # noqa: E704
 def hypot(x, y): return F.hypot(x, y)  # noqa: E704
 def exp2(x): return F.pow(F.lit(2.0), x)  # noqa: E704
@@ -60,7 +62,7 @@ def expm1(x): return F.expm1(x)  # noqa: E704
 def log1p(x): return F.log1p(x)  # noqa: E704
 def logb(x: Column) -> Column: return F.floor(F.log2(F.abs(x)))  # noqa: E704
 def ldexp(x: Column, n: int) -> Column: return x * float(2**n)  # noqa: E704
-def signbit(x: Column) -> Column: return x < 0  # noqa: E704
+def signbit(x: Column) -> Column: return (x < 0) | F.startswith(x.cast("double").cast("string"), F.lit("-0"))  # noqa: E704
 
 
 def from_math(name: str):
@@ -89,7 +91,13 @@ def bit_len(x: Column) -> Column: return F.when(x == 0, 0).otherwise(F.length(F.
 
 
 def atoi(s: Column) -> Column: return F.when(s.rlike(r"^[+-]?[0-9]+\z"), s.try_cast("long"))  # noqa: E704
-def parse_int(s: Column, base: int) -> Column: return F.conv(s, base, 10).try_cast("long")  # noqa: E704
+def parse_int(s: Column, base: int) -> Column:
+    """Null unless the whole text is a number of the base that fits 64 bits."""
+    digit = f"0-{chr(47 + min(base, 10))}" + (f"a-{chr(86 + base)}A-{chr(54 + base)}" if base > 10 else "")
+    body = F.regexp_replace(s, "^[+-]?0*", "")
+    value = F.conv(F.when(body == "", "0").otherwise(body), base, 10).try_cast("decimal(20,0)")
+    fits = F.length(body) <= F.lit(next(n for n in range(1, 65) if base**n >= 2**63))
+    return F.when(s.rlike(rf"^[+-]?[{digit}]+\z") & fits, F.when(F.startswith(s, F.lit("-")), -value).otherwise(value).try_cast("long"))
 def format_int(x: Column, base: int) -> Column: return F.when(x < 0, F.concat(F.lit("-"), F.lower(F.conv(F.abs(x).cast("string"), 10, base)))).otherwise(F.lower(F.conv(x.cast("string"), 10, base)))  # noqa: E704
 def parse_bool(s: Column) -> Column: return F.when(s.isin("1", "t", "T", "true", "TRUE", "True"), True).when(s.isin("0", "f", "F", "false", "FALSE", "False"), False)  # noqa: E704
 def format_bool(b): return b.cast("string")  # noqa: E704
@@ -103,7 +111,7 @@ def quote(s: Column) -> Column:
 # time: RFC 3339 texts and nanosecond durations
 
 
-def time_valid(s: Column) -> Column: return s.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z")  # noqa: E704
+def time_valid(s: Column) -> Column: return F.coalesce(s.rlike(r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])T([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z") & F.left(s, F.lit(10)).try_cast("date").isNotNull(), F.lit(False))  # noqa: E704
 def unix(seconds: Column) -> Column: return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")  # noqa: E704
 def to_unix(s: Column) -> Column: return F.unix_seconds(F.try_to_timestamp(s))  # noqa: E704
 def time_split(t: Column) -> Column:
@@ -111,11 +119,31 @@ def time_split(t: Column) -> Column:
 #: Nanoseconds of the units of a duration.
 UNITS = {"h": 3_600_000_000_000, "m": 60_000_000_000, "s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
 def parse_duration(s: Column) -> Column:
-    part = lambda u: F.coalesce(F.regexp_extract(s, rf"([0-9.]+){u}(?![a-z])", 1).try_cast("decimal(20,9)"), F.lit(0).cast("decimal(20,9)")) * F.lit(n)
-    total = F.lit(0).cast("decimal(38,9)")
-    for u, n in UNITS.items():
-        total = total + part(u)
-    return F.when(s.rlike(r"^[+-]?([0-9.]+(h|ms|m|s|us|ns))+\z"), F.when(F.startswith(s, F.lit("-")), -total).otherwise(total).cast("long"))
+    """Nanoseconds of a sum of numbers with units; null for any other text."""
+    number = r"(?:\d+\.?\d*|\.\d+)"
+    parts = F.regexp_extract_all(s, F.lit(rf"({number}(?:h|ms|us|\u00b5s|ns|m|s))"), 1)
+
+    def value(part: Column) -> Column:
+        unit = F.regexp_replace(F.regexp_replace(part, "[0-9.]", ""), "\u00b5", "u")
+        scale = F.lit(None).cast("decimal(20,0)")
+        for u, n in UNITS.items():
+            scale = F.when(unit == u, F.lit(n).cast("decimal(20,0)")).otherwise(scale)
+        return F.regexp_extract(part, "[0-9.]+", 0).try_cast("decimal(18,9)") * scale
+
+    total = F.aggregate(parts, F.lit(0).cast("decimal(38,9)"), lambda t, p: (t + value(p)).cast("decimal(38,9)"))
+    whole = F.floor(total).try_cast("long")
+    return F.when(s.rlike(rf"^[+-]?(?:{number}(?:h|ms|us|\u00b5s|ns|m|s))+\z"), F.when(F.startswith(s, F.lit("-")), -whole).otherwise(whole)).when(s.rlike(r"^[+-]?0\z"), 0)
+
+
 def format_duration(ns: Column) -> Column:
-    s = ns / 1_000_000_000
-    return F.concat(F.floor(s / 3600).cast("string"), F.lit("h"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("string"), F.lit("m"), F.pmod(s, F.lit(60)).cast("long").cast("string"), F.lit("s"))
+    """Like 1h2m3.5s; below a second in the largest unit that is not over it."""
+    n = F.abs(ns.cast("decimal(20,0)"))
+    digits = lambda unit, places: F.regexp_replace((n / F.lit(unit)).cast(f"decimal(30,{places})").cast("string"), r"\.?0+\z", "") if places else n.cast("string")
+    trimmed = lambda unit, places: F.when(n % unit == 0, F.call_function("div", n, F.lit(unit).cast("decimal(20,0)")).cast("string")).otherwise(digits(unit, places))
+    over = n - n % F.lit(60_000_000_000)
+    rest = (n - over) / F.lit(1_000_000_000)
+    seconds = F.concat(F.when(n % 1_000_000_000 == 0, rest.cast("long").cast("string")).otherwise(F.regexp_replace(rest.cast("decimal(20,9)").cast("string"), r"0+\z", "")), F.lit("s"))
+    minutes = F.call_function("div", over, F.lit(60_000_000_000).cast("decimal(20,0)"))
+    long = F.when(minutes == 0, seconds).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"), seconds)).otherwise(F.concat(F.call_function("div", minutes, F.lit(60)).cast("string"), F.lit("h"), (minutes % 60).cast("string"), F.lit("m"), seconds))
+    small = F.when(n == 0, "0s").when(n < 1_000, F.concat(n.cast("string"), F.lit("ns"))).when(n < 1_000_000, F.concat(trimmed(1_000, 3), F.lit("\u00b5s"))).when(n < 1_000_000_000, F.concat(trimmed(1_000_000, 6), F.lit("ms")))
+    return F.concat(F.when(ns < 0, "-").otherwise(""), small.otherwise(long))

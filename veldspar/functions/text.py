@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import posixpath
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,22 +34,60 @@ def min_runes(s: Column, n: int) -> Column: return F.char_length(s) >= n  # noqa
 def max_runes(s: Column, n: int) -> Column: return F.char_length(s) <= n  # noqa: E704
 def slice_runes(s: Column, lo: int, hi: int) -> Column: return F.substring(s, lo + 1, hi - lo)  # noqa: E704
 def runes(s: Column) -> Column: return F.transform(F.split(s, ""), lambda c: F.ascii(c))  # noqa: E704
-def to_title(s: Column) -> Column: return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), " ")  # noqa: E704
-def to_camel(s: Column) -> Column: return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(F.lower(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))), " ")  # noqa: E704
+def to_title(s: Column) -> Column: return _cased(s, F.upper)  # noqa: E704
+def to_camel(s: Column) -> Column: return _cased(s, F.lower)  # noqa: E704
+def _cased(s: Column, f) -> Column:
+    """The first letter of every word, in the case of ``f``."""
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(r"(\s*\S*)"), 1), lambda w: F.concat(F.regexp_extract(w, r"^(\s*)", 1), f(F.regexp_extract(w, r"^\s*(\S?)", 1)), F.regexp_extract(w, r"^\s*\S?([\s\S]*)\z", 1))), "")
 def compare(a: Column, b: Column) -> Column: return F.when(a < b, -1).when(a > b, 1).otherwise(0)  # noqa: E704
 
 
 # regular expressions (linear-time dialect: no lookaround or back references)
 
 
-def find(s: Column, pattern: str) -> Column: return F.regexp_substr(s, F.lit(pattern))  # noqa: E704
+def linear(pattern: str) -> str:
+    """The pattern, if the dialect has it: lookaround, back references and possessive or atomic groups are refused."""
+    bare = re.sub(r"\\[^1-9]|\[(?:\\.|[^\]\\])+\]", "", pattern)
+    if found := re.search(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+", bare):
+        raise ValueError(f"not in the dialect: {found[0]} of {pattern}")
+    return re.sub(r"\(\?P<", "(?<", pattern)
+
+
+def _group(name: str, pattern: str) -> str:
+    """What stands for a group in a replacement; an unknown one is empty."""
+    names = {n: i + 1 for i, n in enumerate(re.findall(r"(?<!\\)\((?:\?P?<(\w+)>|(?!\?))", pattern)) if n}
+    n = int(name) if name.isdigit() else names.get(name)
+    return f"${n}" if n is not None and n <= re.compile(re.sub(r"\(\?<(?=\w)", "(?P<", pattern)).groups else ""
+
+
+def find_named(s: Column, pattern: str) -> Column:
+    """The named groups of the first match, as a struct; null if there is none."""
+    names = re.findall(r"\(\?P?<(\w+)>", pattern)
+    groups = re.compile(re.sub(r"\(\?<(?=\w)", "(?P<", pattern)).groupindex
+    return F.when(match(s, pattern), F.struct(*[F.regexp_extract(s, linear(pattern), groups[n]).alias(n) for n in names]))
+def regexp_valid(pattern: str) -> bool:
+    try:
+        re.compile(linear(pattern).replace("(?<", "(?P<"))
+    except (re.error, ValueError):
+        return False
+    return True
+def find_all_submatch(s: Column, pattern: str, groups: int, n: int = -1) -> Column:
+    """Of every match the groups, the whole first."""
+    out = F.arrays_zip(*[F.regexp_extract_all(s, F.lit(linear(pattern)), i).alias(f"g{i}") for i in range(groups + 1)])
+    out = F.transform(out, lambda z: F.array(*[z[f"g{i}"] for i in range(groups + 1)]))
+    return out if n < 0 else F.slice(out, 1, n)
+
+def find(s: Column, pattern: str) -> Column: return F.regexp_substr(s, F.lit(linear(pattern)))  # noqa: E704
 def find_all(s: Column, pattern: str, n: int = -1) -> Column:
-    all_ = F.regexp_extract_all(s, F.lit(pattern), 0)
+    all_ = F.regexp_extract_all(s, F.lit(linear(pattern)), 0)
     return all_ if n < 0 else F.slice(all_, 1, n)
 def find_submatch(s: Column, pattern: str, groups: int) -> Column: return F.when(s.rlike(pattern), F.array(*[F.regexp_extract(s, pattern, i) for i in range(groups + 1)]))  # noqa: E704
-def regexp_replace_all(s: Column, pattern: str, new: str) -> Column: return F.regexp_replace(s, pattern, new)  # noqa: E704
+def regexp_replace_all(s: Column, pattern: str, new: str) -> Column:
+    """$1, ${1} and ${name} stand for groups, $$ for a dollar sign."""
+    out = re.sub(r"\$\$|\$\{(\w+)\}|\$(\w+)|\\", lambda m: r"\$" if m[0] == "$$" else r"\\" if m[0] == "\\" else _group(m[1] or m[2], pattern), new)
+    return F.regexp_replace(s, linear(pattern), out)
 def regexp_replace_literal(s: Column, pattern: str, new: str) -> Column: return F.regexp_replace(s, pattern, new.replace("\\", "\\\\").replace("$", "\\$"))  # noqa: E704
-def match(s: Column, pattern: str) -> Column: return s.rlike(pattern)  # noqa: E704
+def match(s: Column, pattern: str) -> Column: return s.rlike(linear(pattern))  # noqa: E704
 def quote_meta(s: Column) -> Column: return F.regexp_replace(s, r"([\\.+*?()|\[\]{}^$])", r"\\$1")  # noqa: E704
 
 
@@ -60,12 +98,16 @@ def md5(s): return F.unhex(F.md5(s))  # noqa: E704
 def sha1(s): return F.unhex(F.sha1(s))  # noqa: E704
 def sha2(s, bits): return F.unhex(F.sha2(s, bits))  # noqa: E704
 def base64_encode(s): return F.base64(s.cast("binary"))  # noqa: E704
-def base64_decode(s): return F.unbase64(s)  # noqa: E704
+def base64_decode(s): return F.when(s.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"), F.unbase64(s))  # noqa: E704
 def hex_encode(s): return F.lower(F.hex(s))  # noqa: E704
-def hex_decode(s): return F.unhex(s)  # noqa: E704
-def query_escape(s): return F.url_encode(s)  # noqa: E704
+def hex_decode(s): return F.when(s.rlike(r"^(?:[0-9a-fA-F]{2})*\z"), F.unhex(s))  # noqa: E704
+def query_escape(s): return F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))  # noqa: E704
 def query_unescape(s): return F.try_url_decode(s)  # noqa: E704
-def path_escape(s): return F.replace(F.url_encode(s), F.lit("+"), F.lit("%20"))  # noqa: E704
+def path_escape(s: Column) -> Column:
+    out = F.replace(query_escape(s), F.lit("+"), F.lit("%20"))
+    for c in "$&+=:@":  # what a segment of a path may have
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return out
 
 
 #: The characters that HTML text escapes.
@@ -111,24 +153,56 @@ def json_field(s: Column, path: str, kind: str) -> Column: return F.try_variant_
 def path_base(s: Column) -> Column:
     t = F.regexp_replace(s, "/+\\z", "")
     return F.when(s == "", ".").when(t == "", "/").otherwise(F.substring_index(t, "/", -1))
-def path_dir(s): return _posix(posixpath.dirname)(s)  # noqa: E704
+def path_dir(s: Column) -> Column: return path_clean(F.regexp_extract(s, r"^([\s\S]*/)?", 1))  # noqa: E704
 def path_ext(s: Column) -> Column: return F.regexp_extract(s, r"(\.[^./]*)\z", 1)  # noqa: E704
 def path_is_abs(s): return F.startswith(s, F.lit("/"))  # noqa: E704
-def path_clean(s): return _posix(posixpath.normpath)(s)  # noqa: E704
-
-
-def _posix(f):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action="ignore")
-
-    return F.pandas_udf(run, "string")
+def path_clean(s: Column) -> Column:
+    """The shortest path of the same place: no empty or "." steps, and ".." undoes the step before it."""
+    rooted = F.startswith(s, F.lit("/"))
+    steps = F.filter(F.split(s, "/"), lambda x: (x != "") & (x != "."))
+
+    def step(done: Column, x: Column) -> Column:
+        undo = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        return F.when(x != "..", F.concat(done, F.array(x))).when(undo, F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.concat(done, F.array(x)))
+
+    out = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), out)).when(out == "", ".").otherwise(out)
+def path_join(*parts: Column) -> Column:
+    """Steps joined, empty ones left out, and cleaned; empty if all are."""
+    given = F.filter(F.array(*parts), lambda x: x != "")
+    return F.when(F.size(given) > 0, path_clean(F.array_join(given, "/"))).otherwise("")
+def path_split(s: Column) -> Column: return F.array(F.regexp_extract(s, r"^([\s\S]*/)?", 1), F.regexp_extract(s, r"([^/]*)\z", 1))  # noqa: E704
+def path_split_list(s: Column) -> Column: return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, ":"))  # noqa: E704
+def path_to_slash(s: Column) -> Column: return s  # noqa: E704
+def path_resolve(a: Column, b: Column) -> Column: return F.when(path_is_abs(b), path_clean(b)).otherwise(path_join(a, b))  # noqa: E704
+def path_rel(base: Column, to: Column) -> Column:
+    """The way from one cleaned path to another; null if one is rooted and the other is not, or a ".." is in the way."""
+    parts = lambda p: F.filter(F.split(path_clean(p), "/"), lambda x: (x != "") & (x != "."))
+    a, b = parts(base), parts(to)
+    same = F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda t, z: F.when(t["on"] & F.coalesce(z["a"] == z["b"], F.lit(False)), F.struct((t["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(t["n"].alias("n"), F.lit(False).alias("on"))), lambda t: t["n"])
+    up = F.slice(a, same + 1, F.size(a))
+    out = F.concat(F.transform(up, lambda _: F.lit("..")), F.slice(b, same + 1, F.size(b)))
+    return F.when((path_is_abs(base) == path_is_abs(to)) & ~F.array_contains(up, ".."), F.when(F.size(out) == 0, ".").otherwise(F.array_join(out, "/")))
+def path_match(s: Column, pattern: str) -> Column:
+    """Shell patterns: * and ? stop at a slash, classes of characters in brackets."""
+    out = re.sub(r"\\(.)|(\*)|(\?)|(\[\^?(?:\\.|[^\]\\])+\])|(.)", lambda m: re.escape(m[1]) if m[1] else "[^/]*" if m[2] else "[^/]" if m[3] else m[4] or re.escape(m[5]), pattern)
+    return s.rlike(rf"^{out}\z")
 
 
 def url_valid(s: Column) -> Column: return s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s]*\z|^[^\s:]*\z")  # noqa: E704
 def abs_url(s: Column) -> Column: return s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+\z")  # noqa: E704
 def url_host(s): return F.try_parse_url(s, F.lit("HOST"))  # noqa: E704
+def join_host_port(host: Column, port: Column) -> Column: return F.concat(F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.lit(":"), port.cast("string"))  # noqa: E704
+def path_unescape(s: Column) -> Column: return F.try_url_decode(F.replace(s, F.lit("+"), F.lit("%2B")))  # noqa: E704
 def split_host_port(s: Column) -> Column: return F.array(F.regexp_extract(s, r"^\[?([^\]]*?)\]?:([0-9]*)\z", 1), F.regexp_extract(s, r"^\[?([^\]]*?)\]?:([0-9]*)\z", 2))  # noqa: E704
 def ipv4(s: Column) -> Column: return s.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!\z)|\z)){4}\z")  # noqa: E704
+def loopback_ip(s: Column) -> Column: return F.coalesce(ipv4_number(s).between(127 << 24, (128 << 24) - 1), F.lit(False)) | (s == "::1")  # noqa: E704
+def multicast_ip(s: Column) -> Column: return F.coalesce(ipv4_number(s).between(224 << 24, (240 << 24) - 1), F.lit(False)) | s.rlike("(?i)^ff[0-9a-f]{2}:")  # noqa: E704
+def link_local_ip(s: Column) -> Column: return F.coalesce(ipv4_number(s).between((169 << 24) + (254 << 16), (169 << 24) + (255 << 16) - 1), F.lit(False)) | s.rlike("(?i)^fe[89ab][0-9a-f]:")  # noqa: E704
+def unspecified_ip(s: Column) -> Column: return s.isin("0.0.0.0", "::")  # noqa: E704
+def ip_string(n: Column) -> Column: return F.concat_ws(".", *[F.shiftright(n, 8 * i).bitwiseAND(255).cast("string") for i in (3, 2, 1, 0)])  # noqa: E704
+def add_ip(s: Column, n) -> Column: return F.when((ipv4_number(s) + n).between(0, (1 << 32) - 1), ip_string(ipv4_number(s) + n))  # noqa: E704
+def compare_ip(a: Column, b: Column) -> Column: return F.signum((ipv4_number(a) - ipv4_number(b)).cast("double")).cast("int")  # noqa: E704
 def fqdn(s: Column) -> Column: return (F.length(s) <= 253) & s.rlike(r"^(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)*[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\z")  # noqa: E704
 def ipv4_number(s: Column) -> Column:
     p = F.split(s, r"\.")

@@ -9,6 +9,10 @@ marks the branch of a choice that fills missing data. A schema compiles to ordin
 
 Data is always concrete, so a null is an absent field: allowed for optional fields, a violation for required and
 regular ones (unless the constraint admits null).
+
+Where the Spark type of a column is given (``vet`` gives it), kinds, patterns over field names and closedness are decided
+from it when the plan is built. Without it kinds are compared with typeof(), which Spark folds; names of nested fields are
+then not known. A value of another kind is a violation, never a failed cast. Whole doubles are ints.
 """
 
 from __future__ import annotations
@@ -108,13 +112,14 @@ class Struct(Schema):
 
 @dataclass(frozen=True)
 class ListOf(Schema):
-    """A prefix of element constraints, then any number under ``rest`` (None: no more)."""
+    """A prefix of element constraints, then any number under ``rest`` (None: no more); a ``partial`` prefix need not be filled."""
 
     prefix: tuple[Schema, ...] = ()
     rest: Schema | None = Any()
     least: int = 0
     most: int | None = None
     unique: bool = False
+    partial: bool = False
 
 
 @dataclass(frozen=True)
@@ -203,7 +208,10 @@ def kinds(s: Schema) -> frozenset[str]:
 
 
 def _kind_of(v: object) -> str:
-    return "null" if v is None else "bool" if isinstance(v, bool) else "int" if isinstance(v, int) else "float" if isinstance(v, float) else "bytes" if isinstance(v, bytes) else "string"
+    for kind, of in (("null", type(None)), ("bool", bool), ("int", int), ("float", float), ("bytes", bytes), ("list", list | tuple), ("struct", dict)):
+        if isinstance(v, of):
+            return kind
+    return "string"
 
 
 def _holds(op: str, a, b) -> bool:
@@ -361,13 +369,17 @@ def _zip(a: ListOf, b: ListOf) -> Schema:
     for i in range(n):
         x, y = at(a, i), at(b, i)
         if x is None or y is None:
+            if (a if x is None else b).partial or (b if x is None else a).partial:
+                break  # the shorter list is the longest there is
             return Nothing("lists of different lengths")
         out.append(unify(x, y))
         if isinstance(out[-1], Nothing):
             return Nothing(f"{i}: {out[-1].why}")
     rest = None if a.rest is None or b.rest is None else unify(a.rest, b.rest)
     most = min((m for m in (a.most, b.most) if m is not None), default=None)
-    return ListOf(tuple(out), rest, max(a.least, b.least), most, a.unique or b.unique)
+    partial = a.partial or b.partial
+    least = max(a.least, b.least, *(0 if x.partial or not partial else len(x.prefix) for x in (a, b)))
+    return ListOf(tuple(out), rest, least, most, a.unique or b.unique, partial)
 
 
 def subsumes(a: Schema, b: Schema) -> bool:
@@ -421,55 +433,131 @@ def _literal(v: object) -> Column:
 
 
 def _re(pattern: str) -> str:
-    """The dialect's ``$`` is the very end of the text."""
-    out, i = [], 0
+    """The dialect's ``$`` is the very end of the text; in a class of characters it is itself."""
+    out, i, inside = [], 0, 0
     while i < len(pattern):
-        if pattern[i] == "\\" and i + 1 < len(pattern):
+        c = pattern[i]
+        if c == "\\" and i + 1 < len(pattern):
             out.append(pattern[i : i + 2])
             i += 2
             continue
-        out.append(r"\z" if pattern[i] == "$" and "[" not in pattern[max(0, i - 1) : i] else pattern[i])
+        inside += (c == "[") - (c == "]" and inside > 0)
+        out.append(r"\z" if c == "$" and not inside else c)
         i += 1
     return "".join(out)
 
 
-def _bound(b: Bound, col: Column) -> Column:
+#: Names that typeof() gives, by kind.
+_TYPEOF = {
+    "int": r"^(tinyint|smallint|int|bigint|decimal\(\d+,0\))$", "float": r"^(float|double|decimal\(\d+,[1-9]\d*\))$", "number": r"^(tinyint|smallint|int|bigint|float|double|decimal)",
+    "bool": "^boolean$", "string": r"^(string|char|varchar|date|timestamp|time)", "bytes": "^binary$", "list": "^array<", "struct": "^(struct|map)<",
+}
+#: Names that schema_of_variant() gives, by kind.
+_VARIANT = {"int": r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL\(\d+,0\))$", "float": r"^(FLOAT|DOUBLE|DECIMAL)", "number": "^(BIGINT|INT|SMALLINT|TINYINT|FLOAT|DOUBLE|DECIMAL)", "bool": "^BOOLEAN$", "string": "^(STRING|DATE|TIMESTAMP)", "bytes": "^BINARY$", "list": "^ARRAY<", "struct": "^OBJECT<"}
+
+
+def column_kinds(t: T.DataType) -> frozenset[str]:
+    """The kinds that values of a Spark type (but null) can have."""
+    if isinstance(t, T.VariantType):
+        return frozenset(("bool", "int", "float", "string", "bytes", "list", "struct"))
+    if isinstance(t, T.IntegralType) or (isinstance(t, T.DecimalType) and t.scale == 0):
+        return frozenset(("int",))
+    if isinstance(t, T.NumericType):
+        return frozenset(("int", "float"))
+    for of, kind in ((T.BooleanType, "bool"), (T.BinaryType, "bytes"), (T.ArrayType, "list"), (T.StructType | T.MapType, "struct"), (T.NullType, "null")):
+        if isinstance(t, of):
+            return frozenset((kind,))
+    return frozenset(("string",))  # dates and times are texts
+
+
+def of_kind(name: str, col: Column, dtype: T.DataType | None = None) -> Column:
+    """Whether a value that is not null has a kind."""
+    whole = lambda d: d == F.floor(d)
+    if isinstance(dtype, T.VariantType):
+        return F.schema_of_variant(col).rlike(_VARIANT[name])
+    if dtype is not None:
+        has = column_kinds(dtype)
+        if name == "int" and "float" in has:
+            return whole(col.cast("double"))
+        return F.lit(bool(has & {"int", "float"}) if name == "number" else name in has)
+    kind = F.typeof(col)
+    if name == "int":  # a text first, as the column may be of any type
+        return kind.rlike(_TYPEOF["int"]) | (kind.rlike(_TYPEOF["float"]) & F.coalesce(whole(col.cast("string").try_cast("double")), F.lit(False)))
+    return kind.rlike(_TYPEOF[name])
+
+
+def _comparable(value: object, dtype: T.DataType | None, col: Column) -> bool | Column:
+    """Whether a value can be compared with a column: known at once, or (without a type) a Column that Spark folds."""
+    kind = _kind_of(value)
+    kind = "number" if kind in ("int", "float") else kind
+    if dtype is None:
+        return F.typeof(col).rlike(_TYPEOF[kind]) if kind in ("number", "string", "bool") else True
+    has = column_kinds(dtype)
+    return not isinstance(dtype, T.VariantType) and bool(has & {"int", "float"} if kind == "number" else kind in has)
+
+
+def _when_comparable(value: object, dtype: T.DataType | None, col: Column, test, other: bool = False) -> Column:
+    if isinstance(dtype, T.VariantType):  # compared as the value's own type
+        cast = F.try_variant_get(col, "$", {"int": "double", "float": "double", "bool": "boolean"}.get(_kind_of(value), "string"))
+        kind = _kind_of(value)
+        return F.when(of_kind("number" if kind in ("int", "float") else kind, col, dtype), test(cast)).otherwise(F.lit(other))
+    able = _comparable(value, dtype, col)
+    if isinstance(able, bool):
+        return test(col) if able else F.lit(other)
+    return F.when(able, test(col)).otherwise(F.lit(other))
+
+
+def _bound(b: Bound, col: Column, dtype: T.DataType | None = None) -> Column:
     v = _literal(b.value)
-    return {"<": lambda: col < v, "<=": lambda: col <= v, ">": lambda: col > v, ">=": lambda: col >= v, "!=": lambda: ~col.eqNullSafe(v), "=~": lambda: col.rlike(_re(b.value)), "!~": lambda: ~col.rlike(_re(b.value))}[b.op]()
+    test = {"<": lambda c: c < v, "<=": lambda c: c <= v, ">": lambda c: c > v, ">=": lambda c: c >= v, "!=": lambda c: ~c.eqNullSafe(v), "=~": lambda c: c.rlike(_re(b.value)), "!~": lambda c: ~c.rlike(_re(b.value))}[b.op]
+    return _when_comparable(b.value, dtype, col, test, b.op == "!=")
 
 
 def _solid(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def matches(s: Schema, col: Column) -> Column:
+def matches(s: Schema, col: Column, dtype: T.DataType | None = None) -> Column:
     """Whether a value satisfies a schema; a null satisfies Any and what admits null only."""
     if isinstance(s, Any):
         return F.lit(True)
     if isinstance(s, Nothing):
         return F.lit(False)
     if isinstance(s, Kind):
-        return col.isNull() if s.name == "null" else col.isNotNull()  # other kinds are the column's own type
+        return col.isNull() if s.name == "null" else col.isNotNull() & _solid(of_kind(s.name, col, dtype))
     if isinstance(s, Const):
-        return col.isNull() if s.value is None else _solid(col == _literal(s.value))
+        return col.isNull() if s.value is None else _solid(_when_comparable(s.value, dtype, col, lambda c: c == _literal(s.value)))
     if isinstance(s, Bound):
-        return _solid(_bound(s, col))
+        return _solid(_bound(s, col, dtype))
     if isinstance(s, All):
-        return reduce(Column.__and__, [matches(p, col) for p in s.parts])
+        return reduce(Column.__and__, [matches(p, col, dtype) for p in s.parts])
     if isinstance(s, Branch):
-        return matches(s.schema, col)
+        return matches(s.schema, col, dtype)
     if isinstance(s, Choice):
         plain = [b.schema.value for b in s.branches if isinstance(b.schema, Const) and b.schema.value is not None]
-        if len(plain) == len(s.branches):
-            return _solid(col.isin(plain))
-        return reduce(Column.__or__, [matches(b.schema, col) for b in s.branches])
+        if len(plain) == len(s.branches) and len({_kind_of(v) for v in plain}) == 1 and not isinstance(dtype, T.VariantType):
+            return _solid(_when_comparable(plain[0], dtype, col, lambda c: c.isin(plain)))
+        return reduce(Column.__or__, [matches(b.schema, col, dtype) for b in s.branches])
     if isinstance(s, Check):
         return _solid(s.test(col))
     if isinstance(s, MatchN):
-        return matches(s.count, reduce(Column.__add__, [matches(x, col).cast("int") for x in s.schemas]))
+        return matches(s.count, reduce(Column.__add__, [matches(x, col, dtype).cast("int") for x in s.schemas]), T.IntegerType())
     if isinstance(s, MatchIf):
-        return F.when(matches(s.test, col), matches(s.then, col)).otherwise(matches(s.other, col))
-    return F.size(violations(s, col, "")) == 0
+        known = _decided(s, dtype)
+        if known is not None:
+            return matches(known, col, dtype)
+        return F.when(matches(s.test, col, dtype), matches(s.then, col, dtype)).otherwise(matches(s.other, col, dtype))
+    return F.size(violations(s, col, "", dtype)) == 0
+
+
+def _decided(s: MatchIf, dtype: T.DataType | None) -> Schema | None:
+    """The branch of a condition on a kind that the column's type decides, for values that are not null."""
+    if dtype is None or not isinstance(s.test, Kind) or isinstance(dtype, T.VariantType) or s.other != Any():
+        return None
+    has, want = column_kinds(dtype), kinds(s.test)
+    if not has & want:
+        return s.other
+    return Choice((Branch(Kind("null")), Branch(s.then))) if has <= want and not isinstance(s.then, Struct | ListOf) else s.then if has <= want else None
 
 
 def _violation(path: Column | str, code: str, message: str) -> Column:
@@ -494,29 +582,27 @@ def describe(s: Schema) -> str:
     return s.name if isinstance(s, Check) else type(s).__name__.lower()
 
 
-def violations(s: Schema, col: Column, path: str = "", struct_type: T.StructType | None = None) -> Column:
-    """All violations of a value, each conjunct for itself."""
+def violations(s: Schema, col: Column, path: str = "", dtype: T.DataType | None = None) -> Column:
+    """All violations of a value, each conjunct for itself; ``dtype`` is the Spark type of the value."""
     if isinstance(s, Branch):
-        return violations(s.schema, col, path, struct_type)
+        return violations(s.schema, col, path, dtype)
     if isinstance(s, All):
-        return F.concat(*[violations(p, col, path, struct_type) for p in s.parts])
+        return F.concat(*[violations(p, col, path, dtype) for p in s.parts])
+    if isinstance(s, MatchIf) and isinstance(known := _decided(s, dtype), Struct | ListOf | Any):
+        return violations(known, col, path, dtype)
+    if isinstance(s, Struct | ListOf) and dtype is not None and not isinstance(dtype, T.VariantType) and ("struct" if isinstance(s, Struct) else "list") not in column_kinds(dtype):
+        return F.array(_violation(path, "kind", f"invalid value (not {'struct' if isinstance(s, Struct) else 'list'})"))
     if isinstance(s, Struct):
-        parts = []
-        for name, f in s.fields:
-            at, value = f"{path}.{name}" if path else name, col.getField(name)
-            bad = violations(f.schema, value, at)
-            missing = F.when(value.isNull(), F.array(_violation(at, "required" if f.presence == "required" else "incomplete", f"{at} is missing"))).otherwise(bad)
-            parts.append(F.when(value.isNull(), NONE()).otherwise(bad) if f.presence == "optional" else bad if isinstance(f.schema, Any) or "null" in kinds(f.schema) else missing)
-        return F.concat(*parts) if parts else NONE()
+        return map_violations(s, col, path, dtype.valueType) if isinstance(dtype, T.MapType) else _struct_violations(s, col, path, dtype)
     if isinstance(s, ListOf):
-        parts = []
+        parts, inner = [], dtype.elementType if isinstance(dtype, T.ArrayType) else None
         for i, p in enumerate(s.prefix):
             at = f"{path}.{i}" if path else str(i)
-            parts.append(F.when(F.size(col) <= i, F.array(_violation(at, "incomplete", f"{at} is missing"))).otherwise(violations(p, F.try_element_at(col, F.lit(i + 1)), at)))
+            parts.append(F.when(F.size(col) <= i, NONE() if s.partial else F.array(_violation(at, "incomplete", f"{at} is missing"))).otherwise(violations(p, F.try_element_at(col, F.lit(i + 1)), at, inner)))
         if s.rest is None:
             parts.append(F.when(F.size(col) > len(s.prefix), F.array(_violation(path, "length", f"more than {len(s.prefix)} elements"))).otherwise(NONE()))
         elif not isinstance(s.rest, Any):
-            bad = F.filter(F.transform(col, lambda x, i: F.struct(i.alias("i"), ((i >= len(s.prefix)) & ~matches(s.rest, x)).alias("bad"))), lambda z: z["bad"])
+            bad = F.filter(F.transform(col, lambda x, i: F.struct(i.alias("i"), ((i >= len(s.prefix)) & ~matches(s.rest, x, inner)).alias("bad"))), lambda z: z["bad"])
             parts.append(F.transform(bad, lambda z: _violation(F.concat(F.lit(f"{path}." if path else ""), z["i"].cast("string")), "value", f"invalid value (not {describe(s.rest)})")))
         if s.least:
             parts.append(F.when(F.size(col) < s.least, F.array(_violation(path, "length", f"fewer than {s.least} elements"))).otherwise(NONE()))
@@ -528,20 +614,51 @@ def violations(s: Schema, col: Column, path: str = "", struct_type: T.StructType
     if isinstance(s, Any):
         return NONE()
     code = "bound" if isinstance(s, Bound) else "kind" if isinstance(s, Kind) else "value"
-    return F.when(matches(s, col), NONE()).otherwise(F.array(_violation(path, code, f"invalid value (out of bound {describe(s)})" if code == "bound" else f"invalid value (not {describe(s)})")))
+    return F.when(matches(s, col, dtype), NONE()).otherwise(F.array(_violation(path, code, f"invalid value (out of bound {describe(s)})" if code == "bound" else f"invalid value (not {describe(s)})")))
+
 
+def _names_null(s: Schema) -> bool:
+    """Whether null is among the values a schema names."""
+    if isinstance(s, Branch | Choice):
+        return any(_names_null(b.schema) for b in (s.branches if isinstance(s, Choice) else (s,)))
+    return s in (Kind("null"), Const(None))
 
-def map_violations(s: Struct, entries: Column, path: str = "") -> Column:
-    """Of a map column: pattern constraints and closedness by key, fields by name."""
+
+def _struct_violations(s: Struct, col: Column, path: str, dtype: T.DataType | None) -> Column:
+    import re
+
+    types = {f.name: f.dataType for f in dtype.fields} if isinstance(dtype, T.StructType) else None
+    place = lambda name: f"{path}.{name}" if path else name
+    parts = []
+    for name, f in s.fields:
+        at = place(name)
+        absent = F.array(_violation(at, "required" if f.presence == "required" else "incomplete", f"{at} is missing"))
+        admits = _names_null(f.schema) if f.presence == "required" else isinstance(f.schema, Any) or "null" in kinds(f.schema)
+        if types is not None and name not in types:
+            parts += [] if f.presence == "optional" or (admits and f.presence != "required") else [absent]  # a column that is not there
+            continue
+        value = col.getField(name)
+        bad = violations(f.schema, value, at, types and types[name])
+        parts.append(F.when(value.isNull(), NONE()).otherwise(bad) if f.presence == "optional" else bad if admits else F.when(value.isNull(), absent).otherwise(bad))
+    for name, t in (types or {}).items():
+        value, hit = col.getField(name), [c for p, c in s.patterns if re.search(p, name)]
+        parts += [F.when(value.isNull(), NONE()).otherwise(violations(c, value, place(name), t)) for c in hit]
+        if s.closed and not hit and name not in dict(s.fields):
+            parts.append(F.when(value.isNull(), NONE()).otherwise(F.array(_violation(place(name), "closed", "field not allowed"))))
+    return F.concat(*parts) if parts else NONE()
+
+
+def map_violations(s: Struct, entries: Column, path: str = "", dtype: T.DataType | None = None) -> Column:
+    """Of a map column with values of ``dtype``: pattern constraints and closedness by key, fields by name."""
     parts = []
     for name, f in s.fields:
         at, value = f"{path}.{name}" if path else name, F.try_element_at(entries, F.lit(name))
-        bad = violations(f.schema, value, at)
+        bad = violations(f.schema, value, at, dtype)
         absent = NONE() if f.presence == "optional" else F.array(_violation(at, "required", f"{at} is missing"))
         parts.append(F.when(~F.map_contains_key(entries, name), absent).otherwise(bad))
     names = F.array(*[F.lit(n) for n, _ in s.fields]).cast("array<string>")
     for pattern, c in s.patterns:
-        bad = _bad_keys(entries, pattern, c)
+        bad = F.map_keys(F.map_filter(entries, lambda k, v, p=pattern, c=c: k.rlike(_re(p)) & ~matches(c, v, dtype)))
         parts.append(F.transform(bad, lambda k: _violation(F.concat(F.lit(f"{path}." if path else ""), k), "value", "invalid value for the field's pattern")))
     if s.closed:
         extra = F.array_except(F.map_keys(entries), names)
@@ -551,10 +668,6 @@ def map_violations(s: Struct, entries: Column, path: str = "") -> Column:
     return F.concat(*parts) if parts else NONE()
 
 
-def _bad_keys(entries: Column, pattern: str, c: Schema) -> Column:
-    return F.map_keys(F.map_filter(entries, lambda k, v: k.rlike(_re(pattern)) & ~matches(c, v)))
-
-
 def complete(s: Schema, col: Column) -> Column:
     """The value, or the default where it is missing."""
     d = default_of(s.schema if isinstance(s, Branch) and s.marked else s)
@@ -567,16 +680,13 @@ def trim(s: Schema, col: Column) -> Column:
     return F.when(~_solid(col == _literal(d.value)), col) if isinstance(d, Const) else col
 
 
-def row(s: Struct, df) -> Column:
-    """The columns a struct schema names, as one value."""
-    return F.struct(*[df[n] if n in df.columns else F.lit(None).alias(n) for n, _ in s.fields])
-
+def vet(df, s: Schema, name: str = "violations", ordered: bool = False):
+    """``df`` with an array column of violations; a closed schema also refuses columns it does not name.
 
-def vet(df, s: Struct, name: str = "violations"):
-    """``df`` with an array column of violations; a closed schema also refuses columns it does not name."""
-    if s.closed and (extra := [c for c in df.columns if c not in dict(s.fields)]):
-        raise ValueError(f"fields not allowed: {', '.join(extra)}")
-    return df.withColumn(name, violations(s, row(s, df)))
+    ``ordered``: sorted by path, code and message, equal ones once.
+    """
+    found = violations(s, F.struct(*[df[c] for c in df.columns]), "", df.schema)
+    return df.withColumn(name, F.array_sort(F.array_distinct(found)) if ordered else found)
 
 
 def complete_frame(df, s: Struct):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import schema as S
 
@@ -15,19 +17,35 @@ FORMATS = {
     "date-time": r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$",
     "email": r"^[^@\s]+@[^@\s]+$",
     "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:",
+    "hostname": r"^(?=.{1,253}$)[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$",
+    "ipv4": r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.|$)){4}$",
+    "json-pointer": r"^(/([^~/]|~[01])*)*$",
+    "time": r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$",
     "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
 }
-META = ("$schema", "$id", "id", "$comment", "title", "description", "examples", "deprecated", "readOnly", "writeOnly", "$defs", "definitions", "default", "contentMediaType")
+META = ("$schema", "$id", "id", "$comment", "title", "description", "examples", "deprecated", "readOnly", "writeOnly", "$defs", "definitions", "default", "contentMediaType", "contentEncoding", "contentSchema", "$vocabulary", "example", "externalDocs", "xml", "discriminator")
 
 
-def extract(doc: dict | bool, root: dict | None = None) -> S.Schema:
-    """The schema of a document; keywords that are neither enforced nor annotations are refused."""
+def extract(doc: dict | bool, root: dict | None = None, within: tuple[str, ...] = ()) -> S.Schema:
+    """The schema of a document; keywords that are neither enforced nor annotations are refused, as are recursive references.
+
+    A keyword of one type (a bound, a pattern, properties, items) passes values of other types, unless ``type`` refuses them.
+    """
     if isinstance(doc, bool):
         return S.Any() if doc else S.Nothing("false schema")
     root = doc if root is None else root
     if "$ref" in doc:
-        return extract(_resolve(doc["$ref"], root), root)
-    sub = lambda d: extract(d, root)
+        if doc["$ref"] in within:
+            raise ValueError(f"recursive reference: {doc['$ref']}")
+        return extract(_resolve(doc["$ref"], root), root, (*within, doc["$ref"]))
+    sub = lambda d: extract(d, root, within)
+    only_type = {KINDS[doc["type"]]} if isinstance(doc.get("type"), str) else set()
+
+    def of(kind: str, s: S.Schema) -> S.Schema:
+        """Under the condition that a value has the kind."""
+        return s if only_type and only_type <= {kind, *(("int",) if kind == "number" else ())} else S.MatchIf(S.Kind(kind), s, S.Any())
+
+    keys = lambda c: F.json_object_keys(F.to_json(c))
     parts: list[S.Schema] = []
     done = set(META)
 
@@ -37,9 +55,9 @@ def extract(doc: dict | bool, root: dict | None = None) -> S.Schema:
 
     if use("type"):
         names = doc["type"] if isinstance(doc["type"], list) else [doc["type"]]
-        base = [S.Kind(KINDS[n]) for n in names if KINDS[n] not in ("struct", "list")]
-        if base and len(base) == len(names):
-            parts.append(reduce(S.union, base))
+        shapes = {"object": ("properties", "required", "additionalProperties", "patternProperties"), "array": ("items", "prefixItems", "minItems", "maxItems", "uniqueItems")}
+        if not (len(names) == 1 and any(k in doc for k in shapes.get(names[0], ()))):  # else the shape itself refuses other kinds
+            parts.append(reduce(S.union, [S.Kind(KINDS[n]) for n in names]))
     if use("nullable") and doc["nullable"] and parts:
         parts[-1] = S.union(parts[-1], S.Kind("null"))
     if use("const"):
@@ -49,20 +67,20 @@ def extract(doc: dict | bool, root: dict | None = None) -> S.Schema:
     for word, op in (("minimum", ">="), ("maximum", "<="), ("exclusiveMinimum", ">"), ("exclusiveMaximum", "<")):
         if use(word) and not isinstance(doc[word], bool):
             flag = {"minimum": "exclusiveMinimum", "maximum": "exclusiveMaximum"}.get(word)
-            parts.append(S.Bound(op[0] if flag and doc.get(flag) is True else op, doc[word]))
+            parts.append(of("number", S.Bound(op[0] if flag and doc.get(flag) is True else op, doc[word])))
     if use("multipleOf"):
         m = doc["multipleOf"]
-        parts.append(S.Check(f"multipleOf({m})", lambda c: F.try_mod(c.cast("decimal(30,10)"), F.lit(m).cast("decimal(30,10)")) == 0))
+        parts.append(of("number", S.Check(f"multipleOf({m})", lambda c: F.try_mod(c.cast("decimal(30,10)"), F.lit(m).cast("decimal(30,10)")) == 0)))
     if use("minLength"):
         least = doc["minLength"]
-        parts.append(S.Check(f"minLength({least})", lambda c: F.char_length(c) >= least))
+        parts.append(of("string", S.Check(f"minLength({least})", lambda c: F.char_length(c) >= least)))
     if use("maxLength"):
         most = doc["maxLength"]
-        parts.append(S.Check(f"maxLength({most})", lambda c: F.char_length(c) <= most))
+        parts.append(of("string", S.Check(f"maxLength({most})", lambda c: F.char_length(c) <= most)))
     if use("pattern"):
-        parts.append(S.Bound("=~", doc["pattern"]))
+        parts.append(of("string", S.Bound("=~", doc["pattern"])))
     if use("format") and doc["format"] in FORMATS:
-        parts.append(S.Bound("=~", FORMATS[doc["format"]]))
+        parts.append(of("string", S.Bound("=~", FORMATS[doc["format"]])))
     if use("allOf"):
         parts += map(sub, doc["allOf"])
     if use("anyOf"):
@@ -78,15 +96,35 @@ def extract(doc: dict | bool, root: dict | None = None) -> S.Schema:
         fields = {n: S.Field(sub(d), "required" if n in required else "optional") for n, d in doc.get("properties", {}).items()}
         fields |= {n: S.Field(S.Any(), "required") for n in required if n not in fields}
         patterns = tuple((p, sub(d)) for p, d in doc.get("patternProperties", {}).items())
-        parts.append(S.Struct(tuple(fields.items()), patterns, doc.get("additionalProperties") is False))
-    if any([use("items"), use("prefixItems"), use("minItems"), use("maxItems"), use("uniqueItems"), use("contains")]):
+        more = doc.get("additionalProperties", True)
+        if isinstance(more, dict):  # the names that nothing else describes
+            named = "|".join(map(re.escape, doc.get("properties", {})))
+            patterns += ((rf"^(?!(?:{named})$)" * bool(named) + "".join(rf"(?![\s\S]*?(?:{p}))" for p in doc.get("patternProperties", {})), sub(more)),)
+        parts.append(of("struct", S.Struct(tuple(fields.items()), patterns, more is False)))
+    if use("minProperties"):
+        parts.append(of("struct", S.Check("minProperties", lambda c, n=doc["minProperties"]: F.size(keys(c)) >= n)))
+    if use("maxProperties"):
+        parts.append(of("struct", S.Check("maxProperties", lambda c, n=doc["maxProperties"]: F.size(keys(c)) <= n)))
+    if use("propertyNames"):
+        name = sub(doc["propertyNames"])
+        parts.append(of("struct", S.Check("propertyNames", lambda c: F.forall(keys(c), lambda k: S.matches(name, k, T.StringType())))))
+    needs: dict = {}
+    for word in ("dependentRequired", "dependentSchemas", "dependencies"):
+        needs |= doc[word] if use(word) else {}
+    for name, need in needs.items():
+        has = S.Check(f"has {name}", lambda c, name=name: F.array_contains(keys(c), name))
+        then = S.Check(f"with {name}", lambda c, need=need: F.size(F.array_except(F.array(*map(F.lit, need)).cast("array<string>"), keys(c))) == 0) if isinstance(need, list) else sub(need)
+        parts.append(of("struct", S.MatchIf(has, then, S.Any())))
+    if any([use("items"), use("prefixItems"), use("minItems"), use("maxItems"), use("uniqueItems"), use("additionalItems")]):
         items = doc.get("items", True)
         prefix = doc.get("prefixItems", items if isinstance(items, list) else [])
-        rest = None if items is False else S.Any() if isinstance(items, list) else sub(items)
-        parts.append(S.ListOf(tuple(map(sub, prefix)), rest, doc.get("minItems", 0), doc.get("maxItems"), bool(doc.get("uniqueItems"))))
-        if "contains" in doc:
-            inner = sub(doc["contains"])
-            parts.append(S.Check("contains", lambda c: F.exists(c, lambda x: S.matches(inner, x))))
+        items = doc.get("additionalItems", True) if isinstance(items, list) else items
+        rest = None if items is False else sub(items)
+        parts.append(of("list", S.ListOf(tuple(map(sub, prefix)), rest, doc.get("minItems", 0), doc.get("maxItems"), bool(doc.get("uniqueItems")), bool(prefix))))
+    if use("contains", "minContains", "maxContains"):
+        inner, least, most = sub(doc["contains"]), doc.get("minContains", 1), doc.get("maxContains", 1 << 31)
+        parts.append(of("list", S.Check("contains", lambda c: F.size(F.filter(c, lambda x: S.matches(inner, x))).between(least, most))))
+    use("minContains", "maxContains")  # without contains they say nothing
     if unknown := set(doc) - done:
         raise ValueError(f"keywords without a meaning here: {', '.join(sorted(unknown))}")
     out = reduce(S.unify, parts, S.Any())
