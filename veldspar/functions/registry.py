@@ -1,0 +1,27 @@
+"""Functions by package and name, for callers that look them up."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from . import numbers as N
+from . import text as X
+
+#: Of real numbers; most are Spark's own.
+MATH: dict[str, Callable[..., Column]] = {
+    "Abs": F.abs, "Acos": F.acos, "Acosh": F.acosh, "Asin": F.asin, "Asinh": F.asinh, "Atan": F.atan, "Atan2": F.atan2, "Atanh": F.atanh, "Cbrt": F.cbrt, "Ceil": F.ceil, "Copysign": N.copysign, "Cos": F.cos, "Cosh": F.cosh,
+    "Dim": N.dim, "Erf": lambda x: N.from_math("erf")(x), "Erfc": lambda x: N.from_math("erfc")(x), "Exp": F.exp, "Exp2": N.exp2, "Expm1": F.expm1, "Floor": F.floor, "Gamma": lambda x: N.from_math("gamma")(x), "Hypot": F.hypot, "Ldexp": N.ldexp, "Log": F.log, "Log10": F.log10,
+    "Log1p": F.log1p, "Log2": F.log2, "Logb": N.logb, "Ilogb": lambda x: N.logb(x).cast("int"), "Mod": lambda x, y: F.try_mod(x, y), "MultipleOf": N.multiple_of, "Pow": F.pow, "Pow10": lambda n: F.pow(F.lit(10.0), n),
+    "Remainder": lambda x, y: x - y * F.rint(x / y), "Round": N.round_half_away, "RoundToEven": N.round_to_even, "Signbit": N.signbit, "Sin": F.sin, "Sinh": F.sinh, "Sqrt": F.sqrt, "Tan": F.tan, "Tanh": F.tanh, "Trunc": N.trunc,
+}
+BITS = {"And": lambda x, y: x.bitwiseAND(y), "Or": lambda x, y: x.bitwiseOR(y), "Xor": lambda x, y: x.bitwiseXOR(y), "Clear": N.bit_clear, "Lsh": N.lsh, "Rsh": N.rsh, "At": N.bit_at, "Set": N.bit_set, "OnesCount": N.ones_count, "Len": N.bit_len}
+PATH = {"Split": X.path_split, "SplitList": X.path_split_list, "Join": X.path_join, "Match": X.path_match, "Clean": X.path_clean, "ToSlash": X.path_to_slash, "FromSlash": X.path_to_slash, "Ext": X.path_ext, "Resolve": X.path_resolve, "Rel": X.path_rel, "Base": X.path_base, "Dir": X.path_dir, "IsAbs": X.path_is_abs}
+PACKAGES = {"math": MATH, "math/bits": BITS, "path": PATH}
+
+
+def function(package: str, name: str) -> Callable[..., Column]:
+    """The function of a package; KeyError if there is none."""
+    return PACKAGES[package][name]

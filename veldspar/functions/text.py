@@ -47,7 +47,7 @@ def compare(a: Column, b: Column) -> Column: return F.when(a < b, -1).when(a > b
 
 def linear(pattern: str) -> str:
     """The pattern, if the dialect has it: lookaround, back references and possessive or atomic groups are refused."""
-    bare = re.sub(r"\\[^1-9]|\[(?:\\.|[^\]\\])+\]", "", pattern)
+    bare = re.sub(r"\\[^1-9]|\[(?:\\.|[^\]\\])+\]", "x", pattern)
     if found := re.search(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+", bare):
         raise ValueError(f"not in the dialect: {found[0]} of {pattern}")
     return re.sub(r"\(\?P<", "(?<", pattern)

@@ -658,7 +658,7 @@ def map_violations(s: Struct, entries: Column, path: str = "", dtype: T.DataType
         parts.append(F.when(~F.map_contains_key(entries, name), absent).otherwise(bad))
     names = F.array(*[F.lit(n) for n, _ in s.fields]).cast("array<string>")
     for pattern, c in s.patterns:
-        bad = F.map_keys(F.map_filter(entries, lambda k, v, p=pattern, c=c: k.rlike(_re(p)) & ~matches(c, v, dtype)))
+        bad = _bad_keys(entries, pattern, c, dtype)
         parts.append(F.transform(bad, lambda k: _violation(F.concat(F.lit(f"{path}." if path else ""), k), "value", "invalid value for the field's pattern")))
     if s.closed:
         extra = F.array_except(F.map_keys(entries), names)
@@ -668,6 +668,10 @@ def map_violations(s: Struct, entries: Column, path: str = "", dtype: T.DataType
     return F.concat(*parts) if parts else NONE()
 
 
+def _bad_keys(entries: Column, pattern: str, c: Schema, dtype: T.DataType | None) -> Column:
+    return F.map_keys(F.map_filter(entries, lambda k, v: k.rlike(_re(pattern)) & ~matches(c, v, dtype)))
+
+
 def complete(s: Schema, col: Column) -> Column:
     """The value, or the default where it is missing."""
     d = default_of(s.schema if isinstance(s, Branch) and s.marked else s)

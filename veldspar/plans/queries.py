@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
+from ..operators import comprehension as C
 from ..operators import frames as R
 from ..operators import schema as S
+from ..functions.registry import MATH
 from ..sources import jsonschema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,8 +89,10 @@ def matchn_count(t):
 @query("SELECT count(*)::BIGINT AS n FROM events WHERE NOT CASE WHEN event_type = 'purchase' THEN coalesce(value >= 1, false) ELSE true END")
 def matchif_events(t):
     d = t("events")
-    ok = F.when(S.matches(S.Const("purchase"), d["event_type"]), S.matches(S.Bound(">=", 1), d["value"])).otherwise(True)
-    return d.where(~ok).agg(F.count("*").alias("n"))
+    purchase = S.struct(event_type=S.Const("purchase"))
+    rule = S.MatchIf(purchase, S.struct(value=S.Bound(">=", 1)), S.Any())
+    e = d.select(F.struct("event_type", "value").alias("e"))
+    return e.where(~S.matches(rule, e["e"], e.schema["e"].dataType)).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*)::BIGINT AS n FROM part WHERE p_size >= 11 AND p_size < 40")
@@ -99,13 +103,13 @@ def bound_simplify(t):
     return d.where(S.matches(s, d["p_size"])).agg(F.count("*").alias("n"))
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0),
-b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal, c_name AS name FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH a AS (SELECT c_custkey AS k, c_acctbal AS bal, c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING' OR c_acctbal < 0),
+b AS (SELECT c_custkey AS k, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS bal, c_name AS name FROM customer WHERE c_mktsegment <> 'AUTOMOBILE' AND c_acctbal >= 0)
 SELECT coalesce(a.k, b.k) AS k, CASE WHEN coalesce(a.bal <> b.bal, false) THEN NULL ELSE coalesce(a.bal, b.bal) END AS bal, coalesce(a.bal <> b.bal, false) AS bal_conflict, seg, name FROM a FULL JOIN b ON a.k = b.k""")
 def unify_frames(t):
     c = t("customer")
-    a = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS k", "c_acctbal AS bal", "c_mktsegment AS seg")
-    b = c.where("c_custkey % 2 = 0").selectExpr("c_custkey AS k", "CASE WHEN c_custkey % 10 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS bal", "c_name AS name")
+    a = c.where("c_mktsegment <> 'BUILDING' OR c_acctbal < 0").selectExpr("c_custkey AS k", "c_acctbal AS bal", "c_mktsegment AS seg")
+    b = c.where("c_mktsegment <> 'AUTOMOBILE' AND c_acctbal >= 0").selectExpr("c_custkey AS k", "CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal + 1 ELSE c_acctbal END AS bal", "c_name AS name")
     return R.unify_frames(a, b, ["k"])
 
 
@@ -142,46 +146,56 @@ def pattern_constraint(t):
     return t("events").where(F.size(S.map_violations(s, F.from_json("props", PROPS))) > 0).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) FILTER (WHERE NOT l_quantity BETWEEN 1 AND 50) = 0 AS loose, count(*) FILTER (WHERE NOT l_quantity BETWEEN 5 AND 45) = 0 AS tight FROM lineitem")
+@query("SELECT count(*) FILTER (WHERE NOT l_quantity BETWEEN 1 AND 50) = 0 AS loose, count(*) FILTER (WHERE NOT l_quantity BETWEEN 5 AND 45) = 0 AS tight, count(*) FILTER (WHERE NOT l_quantity BETWEEN 0 AND 60) = 0 AS wide FROM lineitem")
 def subsume_check(t):
     d = t("lineitem")
-    return d.agg(*[(F.count_if(~S.matches(s, d["l_quantity"])) == 0).alias(n) for n, s in (("loose", S.between(1, 50)), ("tight", S.between(5, 45)))])
+    loose, tight, wide = S.between(1, 50), S.between(5, 45), S.between(0, 60)
+    assert S.subsumes(wide, loose) and S.subsumes(loose, tight) and not S.subsumes(tight, loose)
+    # what subsumes a constraint that all rows satisfy needs no look at the rows
+    got = d.agg(*[(F.count_if(~S.matches(s, d["l_quantity"], d.schema["l_quantity"].dataType)) == 0).alias(n) for n, s in (("loose", loose), ("tight", tight))])
+    return got.select("loose", "tight", F.when(F.col("loose"), F.lit(S.subsumes(wide, loose))).alias("wide"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
 def comp_for_if(t):
-    return t("orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select("o_orderkey", "o_totalprice")
+    return C.each(t("orders")).if_("o_orderstatus = 'F'").if_("o_totalprice > 200000").yield_("o_orderkey", "o_totalprice")
 
 
 @query("SELECT l_orderkey, l_linenumber, floor(l_extendedprice * (1 - l_discount))::BIGINT AS net FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
 def comp_for_let(t):
-    return t("lineitem").withColumn("let_net", F.expr("l_extendedprice * (1 - l_discount)")).where("let_net > 50000").select("l_orderkey", "l_linenumber", F.floor("let_net").alias("net"))
+    return C.each(t("lineitem")).let(let_net="l_extendedprice * (1 - l_discount)").if_("let_net > 50000").yield_("l_orderkey", "l_linenumber", net="floor(let_net)")
 
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0")
 def comp_join_equi(t):
-    return t("orders").join(t("customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    return C.each(t("orders")).for_(t("customer"), "o_custkey = c_custkey").if_("c_acctbal < 0").yield_("o_orderkey", "c_name")
 
 
 @query("SELECT c_mktsegment, l_returnflag, count(*)::BIGINT AS n, sum(l_quantity)::DECIMAL(38,2) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
 def comp_join_three(t):
-    j = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    j = C.each(t("lineitem")).for_(t("orders"), "l_orderkey = o_orderkey").for_(t("customer"), "o_custkey = c_custkey").yield_("c_mktsegment", "l_returnflag", "l_quantity")
     return j.groupBy("c_mktsegment", "l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("decimal(38,2)").alias("qty"))
 
 
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
 def comp_theta(t):
-    return t("nation").join(t("region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_name", "r_name")
+    return C.each(t("nation")).for_(t("region"), "n_regionkey < r_regionkey").yield_("n_name", "r_name")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def comp_semi(t):
-    return t("customer").join(t("orders").where("o_orderpriority = '1-URGENT'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+    return C.each(t("customer")).where_any(t("orders").where("o_orderpriority = '1-URGENT'"), "o_custkey = c_custkey").yield_("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def comp_anti(t):
-    return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return C.each(t("customer")).where_none(t("orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'"), "o_custkey = c_custkey").yield_("c_custkey", "c_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 0 UNION ALL SELECT -count(*)::BIGINT FROM orders HAVING count(*) FILTER (WHERE o_totalprice < 0) = 0")
+def comp_or_else(t):
+    none = C.each(t("orders")).if_("o_totalprice < 0").yield_("o_orderkey")
+    return C.or_else(none, t("orders").agg((-F.count("*")).alias("o_orderkey")))
 
 
 @query("SELECT s_suppkey, n_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
@@ -191,8 +205,7 @@ def comp_lookup(t):
 
 @query("SELECT o_orderkey, coalesce(c_name, 'none') AS who FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9000) ON o_custkey = c_custkey")
 def comp_else(t):
-    j = t("orders").join(t("customer").where("c_acctbal > 9000"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    return j.select("o_orderkey", F.coalesce("c_name", F.lit("none")).alias("who"))
+    return C.each(t("orders")).try_(t("customer").where("c_acctbal > 9000"), "o_custkey = c_custkey", c_name="none").yield_("o_orderkey", who="c_name")
 
 
 @query("SELECT o_custkey, CASE WHEN min(o_orderstatus) = max(o_orderstatus) THEN min(o_orderstatus) END AS o_orderstatus, min(o_orderstatus) <> max(o_orderstatus) AS o_orderstatus_conflict FROM orders GROUP BY o_custkey")
@@ -205,9 +218,9 @@ def list_sum_avg_min_max(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").cast("decimal(38,2)").alias("s"), F.round(F.avg("l_quantity"), 6).alias("a"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.count("*").alias("n"))
 
 
-@query("SELECT p_brand, product(1 + (p_partkey % 2))::DOUBLE AS p FROM part WHERE p_partkey <= 200 GROUP BY p_brand")
+@query("SELECT p_brand, round(ln(product(1 + p_size / 10000.0)), 6) AS p FROM part GROUP BY p_brand")
 def list_product(t):
-    return t("part").where("p_partkey <= 200").groupBy("p_brand").agg(F.product(1 + F.col("p_partkey") % 2).alias("p"))
+    return t("part").groupBy("p_brand").agg(F.round(F.log(F.product(1 + F.col("p_size") / 10000.0)), 6).alias("p"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -243,12 +256,12 @@ def set_intersect_except(t):
     return a.select(F.lit("both").alias("side"), "k").union(b.select(F.lit("only").alias("side"), "k"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_size, p_brand FROM part WHERE p_partkey % 7 <> 0), b AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part WHERE p_partkey % 11 <> 0)
+@query("""WITH a AS (SELECT p_partkey, p_size, p_brand FROM part WHERE p_size < 45), b AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#2' THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part WHERE p_size > 5)
 SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, CASE WHEN b.p_partkey IS NULL THEN 'removed' WHEN a.p_partkey IS NULL THEN 'added' WHEN a.p_size = b.p_size AND a.p_brand = b.p_brand THEN 'identical' ELSE 'modified' END AS change FROM a FULL JOIN b USING (p_partkey)""")
 def diff_frames(t):
     p = t("part").select("p_partkey", "p_size", "p_brand")
-    new = p.where("p_partkey % 11 <> 0").withColumn("p_size", F.expr("CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END"))
-    return R.diff(p.where("p_partkey % 7 <> 0"), new, ["p_partkey"])
+    new = p.where("p_size > 5").withColumn("p_size", F.expr("CASE WHEN p_brand = 'Brand#2' THEN p_size + 1 ELSE p_size END"))
+    return R.diff(p.where("p_size < 45"), new, ["p_partkey"])
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 23 - 11)::BIGINT AS a, (l_linenumber * 3 - 10)::BIGINT AS b FROM lineitem)
@@ -385,5 +398,56 @@ def math_special(t):
     return t("part").select("p_partkey", F.round(N.from_math("erf")(F.col("p_size") / 50.0), 9).alias("erf"), F.round(N.from_math("gamma")(F.col("p_size") / 10.0), 6).alias("gamma"))
 
 
+@query("""SELECT path, code, count(*)::BIGINT AS n FROM (SELECT 'p_name' AS path, 'kind' AS code FROM part UNION ALL SELECT 'p_retailprice', 'kind' FROM part WHERE p_retailprice <> floor(p_retailprice)
+UNION ALL SELECT 'p_brand', 'bound' FROM part UNION ALL SELECT 'p_size', 'kind' FROM part) GROUP BY ALL""")
+def type_constraints(t):
+    """Columns of another kind than the constraint's are violations in every row, not failures."""
+    s = S.struct(p_name=S.Kind("int"), p_retailprice=S.Kind("int"), p_brand=S.Bound(">", 3), p_size=S.Kind("string"), p_type=S.Kind("string"), p_partkey=S.Kind("number"))
+    return S.vet(t("part"), s).select(F.explode("violations").alias("v")).groupBy("v.path", "v.code").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT path, code, count(*)::BIGINT AS n FROM (SELECT 'o.o_custkey' AS path, 'bound' AS code FROM orders WHERE o_custkey > 1000 UNION ALL SELECT 'o.o_orderstatus', 'closed' FROM orders UNION ALL SELECT 'o_orderkey', 'closed' FROM orders) GROUP BY ALL""")
+def nested_closedness(t):
+    d = t("orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus").alias("o"))
+    s = S.Struct((("o", S.Field(S.Struct((), (("^o_cust", S.Bound("<=", 1000)),), True))),), (), True)
+    return S.vet(d, s).select(F.explode("violations").alias("v")).groupBy("v.path", "v.code").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') OR (value IS NOT NULL AND value >= 10)")
+def jsonschema_objects(t):
+    """Object keywords over a struct: dependencies, names, counts and a schema for all other properties."""
+    d = t("events").select("event_id", F.struct(F.when(F.expr("event_type NOT IN ('click', 'view')"), F.col("event_type")).alias("paid"), F.when(F.col("value") >= 10, F.col("value")).alias("value")).alias("e"))
+    s = jsonschema.extract({"type": "object", "properties": {"paid": {"type": "string"}}, "additionalProperties": {"minimum": 10}, "dependentRequired": {"paid": ["value"]}, "propertyNames": {"maxLength": 5}, "maxProperties": 2})
+    return d.where(S.matches(s, d["e"], d.schema["e"].dataType)).select("event_id")
+
+
+@query("SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x >= 0.1)) BETWEEN 20 AND 30")
+def jsonschema_contains(t):
+    d = t("embeddings")
+    s = jsonschema.extract({"type": "array", "contains": {"minimum": 0.1}, "minContains": 20, "maxContains": 30})
+    return d.where(S.matches(s, d["embedding"], d.schema["embedding"].dataType)).select("vec_id")
+
+
+@query("SELECT page_id, '/' || regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS clean, regexp_extract(url, '^[a-z]+://([^/]+)', 1) || ':80' AS host_port, coalesce(regexp_extract(url, '([^/]*)$', 1), '') AS last FROM pages")
+def path_functions(t):
+    u = F.col("url")
+    way = F.regexp_extract(u, "^[a-z]+://[^/]+/(.*)$", 1)
+    host = F.regexp_extract(u, "^[a-z]+://([^/]+)", 1)
+    return t("pages").select("page_id", F.when(way == "", "/").otherwise(F.concat(X.path_clean(F.concat(F.lit("/x/.././"), way)), F.when(F.endswith(way, F.lit("/")), "/").otherwise(""))).alias("clean"), X.join_host_port(host, F.lit(80)).alias("host_port"), F.get(X.path_split(u), 1).alias("last"))
+
+
+@query("SELECT o_orderkey, (o_totalprice * 1000)::BIGINT * 1000000 AS ns FROM orders")
+def duration_functions(t):
+    n = (F.col("o_totalprice") * 1000).cast("decimal(20,0)").cast("long") * 1_000_000
+    return t("orders").select("o_orderkey", N.parse_duration(N.format_duration(n)).alias("ns"))
+
+
+@query("SELECT p_partkey, round(sin(x), 6) AS s, round(exp(x), 6) AS e, round(ln(1 + x), 6) AS l, round(atan(x), 6) AS t, round(acos(x / 100), 6) AS ac, round(pow(x, 1.5), 6) AS pw, round(degrees(x), 6) AS dg FROM (SELECT p_partkey, p_size / 10.0 AS x FROM part)")
+def math_elementary(t):
+    x = F.col("p_size") / 10.0
+    m = MATH
+    return t("part").select("p_partkey", F.round(m["Sin"](x), 6).alias("s"), F.round(m["Exp"](x), 6).alias("e"), F.round(m["Log1p"](x), 6).alias("l"), F.round(m["Atan"](x), 6).alias("t"), F.round(m["Acos"](x / 100), 6).alias("ac"), F.round(m["Pow"](x, F.lit(1.5)), 6).alias("pw"), F.round(F.degrees(x), 6).alias("dg"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)

@@ -106,8 +106,8 @@ def extract(doc: dict | bool, root: dict | None = None, within: tuple[str, ...]
     if use("maxProperties"):
         parts.append(of("struct", S.Check("maxProperties", lambda c, n=doc["maxProperties"]: F.size(keys(c)) <= n)))
     if use("propertyNames"):
-        name = sub(doc["propertyNames"])
-        parts.append(of("struct", S.Check("propertyNames", lambda c: F.forall(keys(c), lambda k: S.matches(name, k, T.StringType())))))
+        names_as = sub(doc["propertyNames"])
+        parts.append(of("struct", S.Check("propertyNames", lambda c: F.forall(keys(c), lambda k: S.matches(names_as, k, T.StringType())))))
     needs: dict = {}
     for word in ("dependentRequired", "dependentSchemas", "dependencies"):
         needs |= doc[word] if use(word) else {}
