@@ -4,7 +4,7 @@ A string of LENGTH bytes that starts at two places is found as follows, and in t
 
 1. Sampling. Of the SPAN + 1 grams of GRAM bytes in a string's first PASSAGE bytes the one with the least hash is its
    anchor, so equal strings have equal anchors at equal offsets. An anchor owns the run of string starts that chose it,
-   and about one byte in fifty is an anchor. Suffix tuples (gram hash, text, place, owned run) go through Spark's spilling sorts,
+   and about one byte in eighty-six is an anchor. Suffix tuples (gram hash, text, place, owned run) go through Spark's spilling sorts,
    which are the disk-backed queues here; only tuples whose gram occurs elsewhere go on.
 2. Anchors with equal grams and equal owned bytes are one class: if a class has two places, all of its owned strings
    repeat. Copies of any number are thereby settled with partial aggregates.
@@ -38,8 +38,8 @@ from . import common
 
 LENGTH = 400
 #: Strings of this length are told too: a passage of over WORDS words has rarely less.
-PASSAGE, WORDS = 250, 50
-GRAM = 150
+PASSAGE, WORDS = 280, 50
+GRAM = 110
 SPAN = PASSAGE - GRAM
 CHUNK = 1 << 20
 #: Tuples induced at a time in a task, and classes of one gram beyond which strings are counted by hash.
