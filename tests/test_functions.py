@@ -23,6 +23,14 @@ def cases():
         (X.to_title(L("one\ttwo  three")), "One\tTwo  Three"), (X.to_camel(L("One Two")), "one two"), (X.regexp_replace_all(L("ab ac"), "a(.)", "${1}x$$"), "bx$ cx$"), (X.regexp_replace_all(L("ab"), "(?P<n>a)", "${n}-$9"), "a-b"),
         (X.find_all_submatch(L("k1 k2"), "k([0-9])", 1), [["k1", "1"], ["k2", "2"]]), (X.find_named(L("k1"), "(?P<a>k)(?P<b>[0-9])"), ("k", "1")),
         (X.join_host_port(L("::1"), L(80)), "[::1]:80"), (X.loopback_ip(L("127.9.9.9")), True), (X.multicast_ip(L("10.0.0.1")), False), (X.add_ip(L("10.0.0.255"), 1), "10.0.1.0"), (X.compare_ip(L("10.0.0.2"), L("9.255.0.1")), 1),
+        (X.contains_any(L("a]b"), "]^-"), True), (X.contains_any(L("ab"), ""), False), (X.index_any(L("\u00e9a-b"), "-b"), 3), (X.index_any(L("ab"), "xy"), -1), (X.last_index_any(L("\u00e9a-b-"), "-"), 5), (X.last_index_any(L("a"), ""), -1), (X.index_any(L(None).cast("string"), "a"), None),
+        (X.split_n(L("a.b.c"), ".", 2), ["a", "b.c"]), (X.split_n(L("abc"), "", 2), ["a", "bc"]), (X.split_n(L("ab"), "", -1), ["a", "b"]), (X.split_n(L("ab"), "b", 0), []), (X.split_n(L("abc"), "", 1), ["abc"]), (X.split_after(L("aaa"), "aa"), ["aa", "a"]), (X.split_after(L("a,b,"), ","), ["a,", "b,", ""]), (X.split_after(L("a,b,c"), ",", 2), ["a,", "b,c"]),
+        (X.byte_at(L("\u00e9"), 1), 0xA9), (X.byte_at(L("a"), 1), None), (X.byte_slice(L("\u00e9a"), 1, 3), bytearray(b"\xa9a")), (X.byte_slice(L("a"), 0, 2), None), (X.base64_encoded_len(L(4)), 8), (X.base64_decoded_len(L(8)), 6), (X.hex_decoded_len(L(7)), 3),
+        (X.json_compact(L('{ "a b" : [ 1 , "x\\\" y" ] }')), '{"a b":[1,"x\\\" y"]}'), (X.json_compact(L("{")), None), (X.json_html_escape(L('"<&>"')), '"\\u003c\\u0026\\u003e"'), (X.quote_to_ascii(N.quote(L("a\u00e9\U0001f600"))), '"a\\u00e9\\U0001f600"'),
+        *((X.ipv6(L(a)), want) for a, want in (("::", True), ("::1", True), ("1::", True), ("1:2:3:4:5:6:7:8", True), ("1:2:3:4:5:6:7", False), ("1::2::3", False), (":1::2", False), ("1:2:3:4:5:6:7::", True), ("1:2:3:4:5:6:7:8::", False), ("::ffff:1.2.3.4", True), ("::1.2.3.999", False), ("12345::", False), ("1.2.3.4", False), ("", False), ("g::", False), ("1:2:3:4:5:6:7:", False))),
+        (X.ip_cidr(L("10.0.0.0/33")), False), (X.ip_cidr(L("10.0.0.0/8")), True), (X.ip_cidr(L("fe80::/128")), True), (X.ip_cidr(L("10.0.0.0")), False), (X.ip_cidr(L("10.0.0.0/08")), False), (X.to_ip4(L("1.2.3.4")), [1, 2, 3, 4]), (X.global_unicast_ip(L("8.8.8.8")), True), (X.global_unicast_ip(L("127.0.0.1")), False), (X.global_unicast_ip(L("x")), False),
+        (X.uuid_parse(L("{6BA7B810-9DAD-11D1-80B4-00C04FD430C8}")), "6ba7b810-9dad-11d1-80b4-00c04fd430c8"), (X.uuid_urn(L("6ba7b8109dad11d180b400c04fd430c8")), "urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8"), (X.uuid_parse(L("6ba7b810-9dad-11d1-80b400c04fd430c8")), None), (X.uuid_variant(L("6ba7b810-9dad-11d1-c0b4-00c04fd430c8")), 3), (X.uuid_variant(L("x")), None),
+        (N.to_unix_nano(L("1970-01-01T00:00:01.0000005Z")), 1_000_000_500), (N.duration_valid(L("1h")), True), (N.match_n(F.array(L(1), L(2), L(3)), 2, lambda x: x > 1), True), (N.min_fields(F.create_map(L("a"), L(1)), 2), False),
         (N.signbit(L(-0.0)), True), (N.copysign(L(3.0), L(-0.0)), -3.0),
     ]
 

@@ -147,3 +147,13 @@ def format_duration(ns: Column) -> Column:
     long = F.when(minutes == 0, seconds).when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"), seconds)).otherwise(F.concat(F.call_function("div", minutes, F.lit(60)).cast("string"), F.lit("h"), (minutes % 60).cast("string"), F.lit("m"), seconds))
     small = F.when(n == 0, "0s").when(n < 1_000, F.concat(n.cast("string"), F.lit("ns"))).when(n < 1_000_000, F.concat(trimmed(1_000, 3), F.lit("\u00b5s"))).when(n < 1_000_000_000, F.concat(trimmed(1_000_000, 6), F.lit("ms")))
     return F.concat(F.when(ns < 0, "-").otherwise(""), small.otherwise(long))
+def duration_valid(s: Column) -> Column: return parse_duration(s).isNotNull()  # noqa: E704
+def to_unix_nano(s: Column) -> Column: return to_unix(s) * 1_000_000_000 + F.rpad(F.regexp_extract(s, r"\.(\d{1,9})", 1), 9, "0").cast("long")  # noqa: E704
+
+
+# counts over lists and maps
+
+
+def match_n(a: Column, n: int, test) -> Column: return F.size(F.filter(a, test)) == n  # noqa: E704
+def min_fields(m: Column, n: int) -> Column: return F.size(m) >= n  # noqa: E704
+def max_fields(m: Column, n: int) -> Column: return F.size(m) <= n  # noqa: E704

@@ -232,3 +232,84 @@ def uuid_named(space: str, version: int):
         return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit(str(version)), F.substring(h, 14, 3)), F.concat(kind, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
     return make
+
+
+# bytes, sets of characters and pieces
+
+
+def _any_of(chars: str) -> str: return "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in chars)  # noqa: E704
+def contains_any(s: Column, chars: str) -> Column: return F.length(F.translate(s, chars, "")) < F.length(s)  # noqa: E704
+def index_any(s: Column, chars: str) -> Column:
+    """Byte offset of the first character of a set; -1 without one."""
+    has = contains_any(s, chars)
+    return F.when(has, F.octet_length(F.regexp_extract(s, f"^[^{_any_of(chars)}]*", 0)) if chars else F.lit(-1)).when(~has, -1)
+def last_index_any(s: Column, chars: str) -> Column:
+    has = contains_any(s, chars)
+    return F.when(has, F.octet_length(F.regexp_extract(s, rf"^([\s\S]*)[{_any_of(chars)}]", 1)) if chars else F.lit(-1)).when(~has, -1)
+def split_n(s: Column, sep: str, n: int) -> Column:
+    """At most n pieces, the last with the rest; all if n is negative. An empty separator parts characters."""
+    if n == 0:
+        return F.when(s.isNotNull(), F.array().cast("array<string>"))
+    if sep:
+        return F.split(s, r"\Q" + sep + r"\E", n)
+    runes_ = F.filter(F.split(s, ""), lambda c: c != "")
+    if n < 0:
+        return runes_
+    return F.when(F.size(runes_) <= n, runes_).otherwise(F.concat(F.slice(runes_, 1, n - 1), F.array(F.substring(s, n, 1 << 30))))
+def split_after(s: Column, sep: str, n: int = -1) -> Column:
+    """Like split_n, and every piece but the last keeps the separator behind it."""
+    p = split_n(s, sep, n)
+    return F.transform(p, lambda x, i: F.when(i < F.size(p) - 1, F.concat(x, F.lit(sep))).otherwise(x))
+def byte_at(s: Column, i: int) -> Column: return F.when(F.octet_length(s) > i, F.conv(F.hex(F.substring(s.cast("binary"), i + 1, 1)), 16, 10).cast("int"))  # noqa: E704
+def byte_slice(s: Column, lo: int, hi: int) -> Column: return F.when(F.octet_length(s) >= hi, F.substring(s.cast("binary"), lo + 1, hi - lo))  # noqa: E704
+def base64_encoded_len(n: Column) -> Column: return F.call_function("div", n + 2, F.lit(3)) * 4  # noqa: E704
+def base64_decoded_len(n: Column) -> Column: return F.call_function("div", n, F.lit(4)) * 3  # noqa: E704
+def hex_encoded_len(n: Column) -> Column: return n * 2  # noqa: E704
+def hex_decoded_len(n: Column) -> Column: return F.call_function("div", n, F.lit(2))  # noqa: E704
+def json_compact(s: Column) -> Column:
+    """White space outside of strings removed; null if it is not JSON."""
+    return F.when(json_valid(s), F.regexp_replace(s, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s+', "$1"))
+def json_html_escape(s: Column) -> Column:
+    for c in "<>&\u2028\u2029":
+        s = F.replace(s, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return s
+def quote_to_ascii(quoted: Column) -> Column:
+    """Of a quoted text, what is not ASCII as \\u or \\U and the code point."""
+    point = lambda c: F.lower(F.hex(F.ascii(c)))
+    return F.array_join(F.transform(F.split(quoted, ""), lambda c: F.when(F.ascii(c) < 128, c).when(F.ascii(c) < 65536, F.concat(F.lit("\\u"), F.lpad(point(c), 4, "0"))).otherwise(F.concat(F.lit("\\U"), F.lpad(point(c), 8, "0")))), "")
+
+
+# addresses of both families
+
+
+def ipv6(s: Column) -> Column:
+    """Eight groups of hexadecimal digits, one run of zeros left out as "::"; the last two may be written as IPv4."""
+    tail = F.regexp_extract(s, r":([0-9.]*\.[0-9.]*)\z", 1)
+    t = F.when(ipv4(tail), F.regexp_replace(s, r"[0-9.]+\z", "0:0")).otherwise(s)
+    groups = F.filter(F.split(t, ":"), lambda x: x != "")
+    short = F.contains(t, F.lit("::"))
+    plain = t.rlike(r"^[0-9a-fA-F:]+\z") & F.forall(groups, lambda x: F.length(x) <= 4) & ~t.rlike(r":::|::.*::|^:[^:]|[^:]:\z")
+    return plain & F.when(short, F.size(groups) <= 7).otherwise((F.size(groups) == 8) & (F.size(F.split(t, ":")) == 8))
+def ip(s: Column) -> Column: return ipv4(s) | ipv6(s)  # noqa: E704
+def ip_cidr(s: Column) -> Column:
+    address, bits = F.substring_index(s, "/", 1), F.regexp_extract(s, r"^[^/]*/(0|[1-9][0-9]{0,2})\z", 1).try_cast("int")
+    return F.coalesce((ipv4(address) & (bits <= 32)) | (ipv6(address) & (bits <= 128)), F.lit(False))
+def to_ip4(s: Column) -> Column: return F.when(ipv4(s), F.transform(F.split(s, r"\."), lambda x: x.try_cast("int")))  # noqa: E704
+def global_unicast_ip(s: Column) -> Column: return ip(s) & ~(loopback_ip(s) | multicast_ip(s) | link_local_ip(s) | unspecified_ip(s) | (s == "255.255.255.255"))  # noqa: E704
+
+
+# more of uuid
+
+
+UUID_FORMS = r"^(?:(?i:urn:uuid:)?H{8}(?:-H{4}){3}-H{12}|\{H{8}(?:-H{4}){3}-H{12}\}|H{32})\z".replace("H", "[0-9a-fA-F]")
+
+
+def uuid_parse(s: Column) -> Column:
+    """The usual form, in lower case, of a UUID as a URN, in braces, without hyphens or as usual; null for any other text."""
+    h = F.regexp_replace(F.lower(s), r"^urn:uuid:|[{}-]", "")
+    return F.when(s.rlike(UUID_FORMS), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+def uuid_urn(s: Column) -> Column: return F.concat(F.lit("urn:uuid:"), uuid_parse(s))  # noqa: E704
+def uuid_variant(s: Column) -> Column:
+    """1 as in RFC 4122, 3 Microsoft's, 4 for the future, 2 reserved; null if it is none."""
+    c = F.substring(uuid_parse(s), 20, 1)
+    return F.when(c.isin(*"89ab"), 1).when(c.isin(*"cd"), 3).when(c.isin(*"ef"), 4).when(c.isNotNull(), 2)

@@ -449,5 +449,26 @@ def math_elementary(t):
     return t("part").select("p_partkey", F.round(m["Sin"](x), 6).alias("s"), F.round(m["Exp"](x), 6).alias("e"), F.round(m["Log1p"](x), 6).alias("l"), F.round(m["Atan"](x), 6).alias("t"), F.round(m["Acos"](x / 100), 6).alias("ac"), F.round(m["Pow"](x, F.lit(1.5)), 6).alias("pw"), F.round(F.degrees(x), 6).alias("dg"))
 
 
+@query("SELECT p_partkey, regexp_matches(p_name, '[xz]') AS has, CASE WHEN regexp_matches(p_name, '[ae]') THEN length(regexp_extract(p_name, '^[^ae]*')) ELSE -1 END::INT AS first, CASE WHEN regexp_matches(p_name, '[ae]') THEN length(regexp_extract(p_name, '^(.*)[ae]', 1)) ELSE -1 END::INT AS last, replace(p_name, ' ', ' |') AS pieces, CASE WHEN contains(p_name, ' ') THEN substr(p_name, strpos(p_name, ' ') + 1) END AS rest, ascii(p_name[2])::INT AS b FROM part")
+def strings_any_of(t):
+    n = F.col("p_name")
+    return t("part").select("p_partkey", X.contains_any(n, "xz").alias("has"), X.index_any(n, "ae").alias("first"), X.last_index_any(n, "ae").alias("last"), X.join(X.split_after(n, " "), "|").alias("pieces"), F.get(X.split_n(n, " ", 2), 1).alias("rest"), X.byte_at(n, 1).alias("b"))
+
+
+@query("""SELECT c_custkey, 'urn:uuid:' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS urn,
+CASE WHEN h[17:17] IN ('8','9','a','b') THEN 1 WHEN h[17:17] IN ('c','d') THEN 3 WHEN h[17:17] IN ('e','f') THEN 4 ELSE 2 END::INT AS variant FROM (SELECT c_custkey, md5(c_name) AS h FROM customer)""")
+def uuid_forms(t):
+    h = F.upper(F.md5("c_name"))
+    return t("customer").select("c_custkey", X.uuid_urn(h).alias("urn"), X.uuid_variant(h).alias("variant"))
+
+
+@query("""SELECT o_orderkey, a, n >> 24 = 127 AS loopback, n >> 28 = 14 AS multicast, n <> 0 AND n <> 4294967295 AND n >> 24 <> 127 AND n >> 28 <> 14 AND n >> 16 <> 43518 AS unicast, n >> 24 = 10 AS inside, true AS v6
+FROM (SELECT o_orderkey, n, (n >> 24)::VARCHAR || '.' || ((n >> 16) & 255)::VARCHAR || '.' || ((n >> 8) & 255)::VARCHAR || '.' || (n & 255)::VARCHAR AS a FROM (SELECT o_orderkey, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders))""")
+def net_addresses(t):
+    a = F.col("a")
+    d = t("orders").select("o_orderkey", X.ip_string(F.expr("(CAST(o_orderkey AS BIGINT) * 2654435761L) % 4294967296L")).alias("a"))
+    return d.select("o_orderkey", "a", X.loopback_ip(a).alias("loopback"), X.multicast_ip(a).alias("multicast"), X.global_unicast_ip(a).alias("unicast"), X.in_cidr(a, "10.0.0.0/8").alias("inside"), X.ipv6(F.concat(F.lit("::ffff:"), a)).alias("v6"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)
