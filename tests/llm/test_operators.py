@@ -322,6 +322,61 @@ def test_language(spark, sf):
         assert 0 <= r["score"] <= 1
 
 
+def plain_language(rows, trains):
+    """Naive Bayes of whole texts, one n-gram after the other."""
+
+    def buckets(t):
+        code = [ord(c) for c in t.lower()]
+        for k, order in enumerate(language_id.ORDERS):
+            for i in range(len(code) - order + 1):
+                state = 0
+                for c in code[i : i + order]:
+                    state = (state * 0x01000193 + c * 0x9E3779B1) % 2**32
+                yield k, ((state ^ state >> 15) * 0x85EBCA6B % 2**32) >> 32 - language_id.BITS
+
+    grams, docs = defaultdict(Counter), Counter()
+    for t, lang in ((t, lang) for t, lang, learn in zip(*rows, trains, strict=True) if learn and t is not None and lang is not None):
+        grams[lang].update(buckets(t))
+        docs[lang] += 1
+    sizes = {lang: Counter() for lang in grams}
+    for lang, c in grams.items():
+        for (k, _), n in c.items():
+            sizes[lang][k] += n
+    out = []
+    for t in rows[0]:
+        if not docs or not any(map(str.isalpha, t or "")):
+            out.append(("und", 0.0))
+            continue
+        own = Counter(buckets(t))
+        value = {lang: np.log(docs[lang]) + sum(n * np.log((c[b] + 0.5) / (sizes[lang][b[0]] + 0.5 * 2**language_id.BITS)) for b, n in own.items()) for lang, c in sorted(grams.items())}
+        best = max(value, key=value.get)
+        out.append((best, 1 / sum(np.exp(v - value[best]) for v in value.values())))
+    return out
+
+
+def close(got, want):
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert a[:-1] == b[:-1] and abs(a[-1] - b[-1]) < 1e-3, (a, b)
+
+
+def test_language_brute_force(spark, sf):
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in sf[1]]
+    want = plain_language(([r[1] for r in sf[1]], [r[2] for r in sf[1]]), [r[0] is not None and not h for r, h in zip(sf[1], held, strict=True)])
+    close([tuple(r) for r in language_id.op8(spark, sf[0]).collect()], [(r[0], h, *w) for r, h, w in zip(sf[1], held, want, strict=True)])
+
+
+def test_language_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, 97 + 3 * (i % 5) + rng.integers(0, 6, 4))) for _ in range(6)) for i in range(40)] + [None, "", "12"]
+    langs = ["l%d" % (i % 5) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, langs, strict=True)), "doc_id long, text string, lang string")
+    want = [(i, *w) for i, w in enumerate(plain_language((texts, langs), [True] * len(texts)))]
+    for most in (256, 5, 2):
+        monkeypatch.setattr(language_id, "MAX_LANGUAGES", most)
+        close([tuple(r) for r in language_id.identify(docs, F.lit(False)).select("doc_id", "predicted.*").collect()], want)
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = language_id.op8(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").selectExpr("avg(CAST(lang = lang_pred AS INT)) AS a").first()

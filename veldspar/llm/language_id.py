@@ -2,7 +2,8 @@
 
 Training sums n-gram bucket counts per language in Spark (all training documents, no cap); the log-probability matrix
 has ``languages * 3 * 2**BITS`` floats, a size fixed by the parameters, and is broadcast. Scoring looks up the rows of
-whole Arrow batches in numpy.
+whole Arrow batches in numpy. Beyond ``MAX_LANGUAGES`` the languages come in blocks, and a row keeps its best language
+and the sum over all blocks so far.
 
 Defined results: null text, empty text and text without a letter give ``und`` with score 0; a row whose language or
 text is null trains nothing; with no training row at all every document is ``und``; ties go to the language first by
@@ -23,7 +24,7 @@ from . import common
 
 BITS = 15
 ORDERS = (1, 2, 3)
-#: Bound on the matrix: 1,000 languages take 400 MB, so more are refused.
+#: Languages in one matrix (100 MB at most); a table with more is scored by one block of languages after the other.
 MAX_LANGUAGES = 256
 UNDETERMINED = "und"
 #: Characters handled at a time inside a task.
@@ -73,9 +74,17 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     np.add.at(inside, starts[owned], 1)
                     np.add.at(inside, ends[owned], -1)
                     mine += np.bincount(bucket[np.cumsum(inside[:-1]) > 0], minlength=width)
-    for lang, mine in sums.items():
+            if len(sums) >= MAX_LANGUAGES:
+                yield from _told(sums, docs)
+    yield from _told(sums, docs)
+
+
+def _told(sums: dict[str, np.ndarray], docs: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """The counts so far, which are then forgotten; bucket -1 has the documents."""
+    while sums:
+        lang, mine = sums.popitem()
         at = np.flatnonzero(mine)
-        yield pd.DataFrame({"lang": lang, "bucket": np.concatenate(([-1], at)), "n": np.concatenate(([docs[lang]], mine[at]))})
+        yield pd.DataFrame({"lang": lang, "bucket": np.concatenate(([-1], at)), "n": np.concatenate(([docs.pop(lang)], mine[at]))})
 
 
 class Model:
@@ -95,26 +104,25 @@ class Model:
         return out
 
     def predict(self, texts: pd.Series) -> pd.DataFrame:
+        """Best language, its log probability and that of all languages together; null without a letter."""
         known = [i for i, t in enumerate(texts) if t is not None and LETTER.search(t)] if self.langs else []
-        pred, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        pred, top, total = np.full(len(texts), None, object), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
         if known:
             values = self.score([texts.iloc[i] for i in known])
-            best = values.argmax(axis=1)
-            share = np.exp(values - values.max(axis=1, keepdims=True))
-            pred[known] = np.array(self.langs, object)[best]
-            score[known] = 1.0 / share.sum(axis=1)
-        return pd.DataFrame({"lang_pred": pred, "score": score})
+            top[known] = values.max(axis=1)
+            pred[known] = np.array(self.langs, object)[values.argmax(axis=1)]
+            total[known] = top[known] + np.log(np.exp(values - top[known][:, None]).sum(axis=1))
+        return pd.DataFrame({"lang": pred, "top": top, "total": total})
 
 
-def train(labelled: DataFrame) -> Model:
-    """Fit on all rows of (text, lang) without a null."""
+def count(labelled: DataFrame) -> DataFrame:
+    """(lang, bucket, n) of all rows of (text, lang) without a null."""
     common.bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # at most MAX_LANGUAGES * 3 * 2**BITS rows
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded to {MAX_LANGUAGES}")
+    return rows.mapInPandas(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(langs: list[str], got: pd.DataFrame) -> Model:
     width = len(ORDERS) << BITS
     prior, weights = np.zeros(len(langs)), np.zeros((len(langs), width), np.float32)
     for k, lang in enumerate(langs):
@@ -126,23 +134,55 @@ def train(labelled: DataFrame) -> Model:
             part = slice(o << BITS, (o + 1) << BITS)
             weights[k, part] = np.log((table[part] + 0.5) / (table[part].sum() + 0.5 * (1 << BITS)))
         prior[k] = np.log(own["n"][~real].sum())
-    return Model(langs, prior - (np.log(np.exp(prior).sum()) if langs else 0), weights)
+    return Model(langs, prior, weights)
+
 
+def blocks(counts: DataFrame) -> Iterator[Model]:
+    """Models of up to MAX_LANGUAGES languages in code point order; the first has none if nothing was learnt."""
+    heads, last = counts.where("bucket = -1"), None
+    while True:
+        left = heads if last is None else heads.where(F.col("lang") > last)
+        langs = [r["lang"] for r in left.orderBy("lang").limit(MAX_LANGUAGES).select("lang").collect()]
+        if langs or last is None:
+            yield fit(langs, counts.where(F.col("lang").isin(langs)).toPandas())  # at most MAX_LANGUAGES * 3 * 2**BITS rows
+        if len(langs) < MAX_LANGUAGES:
+            return
+        last = langs[-1]
 
-def predictor(docs: DataFrame, model: Model):
-    """A column function: text -> struct(lang_pred, score)."""
+
+def scorer(docs: DataFrame, model: Model):
+    """A column function: text -> struct(lang, top, total)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(texts: pd.Series) -> pd.DataFrame:
         return shared.value.predict(texts)
 
-    return F.pandas_udf(predict, "lang_pred string, score double")
+    return F.pandas_udf(predict, "lang string, top double, total double")
+
+
+def _better(old: Column, new: Column) -> Column:
+    """Of two blocks the better language (the former in a tie) and the log of the summed probabilities."""
+    wins = new["top"] > old["top"]
+    total = F.greatest(old["total"], new["total"]) + F.log1p(F.exp(-F.abs(old["total"] - new["total"])))
+    return F.struct(F.when(wins, new["lang"]).otherwise(old["lang"]).alias("lang"), F.greatest(old["top"], new["top"]).alias("top"), total.alias("total"))
+
+
+def predicted(docs: DataFrame, labelled: DataFrame, name: str, text: str = "text") -> DataFrame:
+    """``docs`` with a struct column ``name`` of lang_pred and score, learnt from ``labelled``."""
+    out = docs
+    for k, model in enumerate(blocks(common.stored(count(labelled), "language_counts"))):
+        if k:  # what the blocks before gave is written, so that a task holds one matrix
+            out = common.stored(out, "language_blocks")
+        new = scorer(out, model)(out[text].cast("string"))
+        out = out.withColumn(name, _better(out[name], new) if k else new)
+    got = out[name]
+    known = got["lang"].isNotNull()
+    return out.withColumn(name, F.struct(F.coalesce(got["lang"], F.lit(UNDETERMINED)).alias("lang_pred"), F.when(known, F.least(F.exp(got["top"] - got["total"]), F.lit(1.0))).otherwise(0.0).alias("score")))
 
 
 def identify(docs: DataFrame, held_out: Column, text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` with a struct column ``predicted``; learns from the rows where ``held_out`` is false."""
-    model = train(docs.where(~held_out).select(docs[text].alias("text"), docs[lang].alias("lang")))
-    return docs.withColumn(common.fresh(docs, "predicted"), predictor(docs, model)(docs[text].cast("string")))
+    return predicted(docs, docs.where(~held_out).select(docs[text].alias("text"), docs[lang].alias("lang")), common.fresh(docs, "predicted"), text)
 
 
 def held_out(docs: DataFrame) -> Column:
@@ -153,13 +193,12 @@ def held_out(docs: DataFrame) -> Column:
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "text", "lang")
     out = identify(docs, held_out(docs))
-    return out.select("doc_id", F.coalesce(held_out(docs), F.lit(False)).alias("held_out"), "predicted.lang_pred", "predicted.score")
+    return out.select("doc_id", F.coalesce(held_out(out), F.lit(False)).alias("held_out"), "predicted.lang_pred", "predicted.score")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: drops documents without a language (``und``) or with a posterior under ``least``."""
-    model = train(docs.where(~held_out(docs)).select("text", "lang"))
     mark = common.fresh(docs, "predicted")
-    out = docs.withColumn(mark, predictor(docs, model)(docs["text"].cast("string")))
+    out = predicted(docs, docs.where(~held_out(docs)).select("text", "lang"), mark)
     kept = out.where((F.col(f"{mark}.lang_pred") != UNDETERMINED) & (F.col(f"{mark}.score") >= least))
     return kept.select(*[kept[c] for c in docs.columns])
