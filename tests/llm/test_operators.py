@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veldspar.llm import decontaminate, jaccard, language_id, lm_scoring, mixing, pii, quality_rules, registry, repair_ids, sharding, suffix_dedup
+from veldspar.llm.common import stored
 
 RNG = np.random.default_rng(7)
 VOCAB = ["the", "of", "and", *("w%d" % i for i in range(300))]
@@ -433,3 +434,68 @@ def test_pipeline_columns(spark, sf):
         assert stage(spark, docs, sf[0]).columns == docs.columns, name
     out = corpus_pipeline.STAGES[-1][1](spark, docs, sf[0])
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
+
+
+def plain_targets(sizes):
+    """The contract's shares: 5, 2, 1 by code point, null last, none above 3 times its source's size."""
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(sorted(sizes, key=lambda n: (n is None, n or "")))}
+    out, todo, left = {}, set(sizes), sum(sizes.values())
+    while todo:
+        whole = sum(weight[n] for n in todo)
+        over = {n for n in todo if left * weight[n] / whole > 3 * sizes[n]}
+        if not over:
+            return out | {n: left * weight[n] / whole for n in todo}
+        out |= {n: 3 * sizes[n] for n in over}
+        left -= sum(out[n] for n in over)
+        todo -= over
+    return out
+
+
+def test_pipeline_brute_force(spark, sf):
+    docs, after = spark.read.parquet(f"{sf[0]}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf[0]), name)
+        after.append([tuple(r) for r in docs.select("doc_id", "text", "source", *(["shard", "slot"] if name == "sharding" else [])).collect()])
+    known, distinct, clean, mixed, placed = after
+
+    # of two languages the better one always has half the probability, so only texts without a letter go
+    same(known, [(d, t, s) for d, t, _, s, _ in sf[1] if any(map(str.isalpha, t or ""))])
+
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} or {tuple(x)} for x in (words(low(t)) for _, t, _ in known)]
+    group = list(range(len(known)))
+    for i in range(len(known)):
+        for j in range(i):
+            if group[i] != group[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    of = {(d, t): g for (d, t, _), g in zip(known, group, strict=True)}
+    assert Counter(of[d, t] for d, t, _ in distinct) == Counter(set(group))
+    for d, t, _ in distinct:
+        ids = [x for (x, _), g in of.items() if g == of[d, t]]
+        assert None in ids or d == min(ids)
+
+    rule = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = {tuple(x[a : a + 13]) for x in (rule.findall(low(sf[2])), ["one", "two"]) for a in range(max(1, len(x) - 12))}
+
+    def contaminated(t):
+        x = rule.findall(low(t))
+        hit = {i for k in {len(w) for w in windows} for a in range(len(x) - k + 1) if tuple(x[a : a + k]) in windows for i in range(a, a + k)}
+        return bool(hit) and 20 * len(hit) >= len(x)
+
+    assert any(contaminated(t) for _, t, _ in distinct)
+    same(clean, [r for r in distinct if not contaminated(r[1])])
+
+    size, most, taken = Counter(), Counter(), Counter()
+    for _, t, s in clean:
+        size[s] += len(words(t))
+        most[s] = max(most[s], len(words(t)))
+    for _, t, s in mixed:
+        taken[s] += len(words(t))
+    there, copies = Counter(clean), Counter(mixed)
+    assert all(n <= 3 * there[r] for r, n in copies.items())
+    assert all(abs(taken[s] - t) <= most[s] for s, t in plain_targets(size).items())
+
+    same([r[:3] for r in placed], mixed)
+    slots = defaultdict(list)
+    for r in placed:
+        slots[r[3]].append(r[4])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and all(0 <= k < 40 for k in slots)
