@@ -126,7 +126,8 @@ class Model:
         t, xq = self._tables, x[:, first:]
         a = (t["q"][xq] + t["qp"][first:]) @ (t["k"][x] + t["kp"]).transpose(0, 2, 1)
         a += FUTURE[first:]
-        np.exp(a, out=a)  # scores are small: products of bounded rows
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
         h = a @ (t["v"][x] + t["vp"])
         h /= a.sum(axis=2, keepdims=True)
         h += t["m"][xq]
@@ -134,9 +135,10 @@ class Model:
         np.tanh(h, out=h)
         z = h.reshape(-1, HIDDEN) @ self.p["out"]
         z += t["big"][xq.ravel()]
+        z -= z.max(axis=1, keepdims=True)
         target = z[np.arange(len(z)), y[:, first:].ravel()]
         np.exp(z, out=z)
-        begin = z[:, start:].sum(axis=1)
+        begin = np.maximum(z[:, start:].sum(axis=1), np.finfo(np.float32).tiny)
         total = np.log(z[:, :start].sum(axis=1) + begin)
         return (target - total).reshape(len(x), -1), (np.log(begin) - total).reshape(len(x), -1)
 
