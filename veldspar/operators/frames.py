@@ -46,9 +46,10 @@ def diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], change.alias("change"))
 
 
-def lookup(df: DataFrame, table: DataFrame, key: str, by: str, most_rows: int = 100_000) -> DataFrame:
-    """``table[key]`` for each row: broadcast if the table has at most ``most_rows`` rows, else a shuffled join."""
-    small = table.limit(most_rows + 1).count() <= most_rows
+def lookup(df: DataFrame, table: DataFrame, key: str, by: str, most_rows: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``table[key]`` for each row: broadcast if the table has at most ``most_rows`` rows of ``most_bytes`` as JSON, else a shuffled join."""
+    rows, size = table.limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    small = rows <= most_rows and size <= most_bytes
     return df.join(F.broadcast(table) if small else table, df[key] == table[by], "left")
 
 
