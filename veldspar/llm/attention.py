@@ -93,21 +93,7 @@ FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 class Model:
     def __init__(self, flat: np.ndarray, bigram: np.ndarray):
         """bigram: log probabilities of a class after a class (or BEGIN)."""
-        self.flat, self.p, self.bigram = flat, parts(flat), bigram.astype(np.float32)
-
-    def hidden(self, x: np.ndarray, first: int = 0) -> dict[str, np.ndarray]:
-        """Batched masked attention and the hidden layer, for queries at positions from ``first``."""
-        p = self.p
-        e = p["embed"][x] + p["place"]
-        eq = e[:, first:]
-        q, k, v = eq @ p["q"] * np.float32(WIDTH**-0.5), e @ p["k"], e @ p["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a += FUTURE[first:]
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        c = np.concatenate((a @ v, eq), axis=2)
-        return {"e": e, "q": q, "k": k, "v": v, "a": a, "c": c, "h": np.tanh(c @ p["mix"] + p["bias"])}
+        self.flat, self.p, self.bigram = flat, parts(flat), bigram.astype(np.float32, copy=False)
 
     def tables(self) -> dict[str, np.ndarray]:
         """What a class and a place give to queries, keys, values and the hidden layer: gathered instead of multiplied."""
@@ -117,59 +103,74 @@ class Model:
             out[name], out[name + "p"] = p["embed"] @ m, p["place"] @ m
         out["mp"] = out["mp"] + p["bias"]
         out["big"] = self.bigram + p["skip"]
-        return out
+        return {name: m.astype(np.float32) for name, m in out.items()}
 
     def log_probability(self, x: np.ndarray, y: np.ndarray, start: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Natural log probability of each target from position ``first``, and of any class from ``start`` on."""
         if not hasattr(self, "_tables"):
             self._tables = self.tables()
         t, xq = self._tables, x[:, first:]
-        a = (t["q"][xq] + t["qp"][first:]) @ (t["k"][x] + t["kp"]).transpose(0, 2, 1)
+        a = (t["q"].take(xq, axis=0) + t["qp"][first:]) @ (t["k"].take(x, axis=0) + t["kp"]).transpose(0, 2, 1)
         a += FUTURE[first:]
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        h = a @ (t["v"][x] + t["vp"])
-        h /= a.sum(axis=2, keepdims=True)
-        h += t["m"][xq]
+        h = a @ (t["v"].take(x, axis=0) + t["vp"])
+        h /= a @ np.ones((WINDOW, 1), np.float32)
+        h += t["m"].take(xq, axis=0)
         h += t["mp"][first:]
         np.tanh(h, out=h)
         z = h.reshape(-1, HIDDEN) @ self.p["out"]
-        z += t["big"][xq.ravel()]
+        z += t["big"].take(xq.ravel(), axis=0)
         z -= z.max(axis=1, keepdims=True)
         target = z[np.arange(len(z)), y[:, first:].ravel()]
         np.exp(z, out=z)
-        begin = np.maximum(z[:, start:].sum(axis=1), np.finfo(np.float32).tiny)
-        total = np.log(z[:, :start].sum(axis=1) + begin)
+        halves = np.zeros((CLASSES, 2), np.float32)  # the classes before ``start``, and from it on
+        halves[:start, 0] = halves[start:, 1] = 1
+        other, begin = (z @ halves).T
+        begin = np.maximum(begin, np.finfo(np.float32).tiny)
+        total = np.log(other + begin)
         return (target - total).reshape(len(x), -1), (np.log(begin) - total).reshape(len(x), -1)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
-        p, s = self.p, self.hidden(x)
-        h = s["h"]
-        z = h @ p["out"] + p["skip"] + self.bigram[x]
-        z -= z.max(axis=2, keepdims=True)
+        """Mean loss of the scored targets and its gradient. Only scored positions go through the hidden layer and the classes."""
+        p, scale = self.p, np.float32(WIDTH**-0.5)
+        rows = np.flatnonzero(scored.ravel())
+        n, at, before = len(rows), np.arange(len(rows)), x.ravel()[rows]
+        e = (p["embed"].take(x.ravel(), axis=0).reshape(*x.shape, WIDTH) + p["place"]).reshape(-1, WIDTH)
+        project = np.concatenate((p["q"] * scale, p["k"], p["v"]), axis=1)
+        q, k, v = (m.reshape(*x.shape, WIDTH) for m in np.split(e @ project, 3, axis=1))
+        a = q @ k.transpose(0, 2, 1)
+        a += FUTURE
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(axis=2, keepdims=True)
+        c = np.concatenate(((a @ v).reshape(-1, WIDTH)[rows], e[rows]), axis=1)
+        h = np.tanh(c @ p["mix"] + p["bias"])
+        z = h @ p["out"]
+        z += (self.bigram + p["skip"]).take(before, axis=0)
+        z -= z.max(axis=1, keepdims=True)
+        target = z[at, y.ravel()[rows]]
         np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
-        b, t = np.indices(x.shape)
-        n = scored.sum()
-        loss = float(-np.log(z[b, t, y] + 1e-30)[scored].sum() / n)
-        z[b, t, y] -= 1
-        z *= (scored / n)[:, :, None].astype(np.float32)
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"out": flat(h).T @ flat(z), "skip": z.sum(axis=(0, 1))}
+        total = z.sum(axis=1)
+        loss = float((np.log(total) - target).mean())
+        z *= (1 / (total * np.float32(n)))[:, None]
+        z[at, y.ravel()[rows]] -= np.float32(1 / n)
+        g = {"out": h.T @ z, "skip": z.sum(axis=0)}
         dh = (z @ p["out"].T) * (1 - h * h)
-        g["mix"], g["bias"] = flat(s["c"]).T @ flat(dh), dh.sum(axis=(0, 1))
-        dc = dh @ p["mix"].T
-        do, de = dc[:, :, :WIDTH], dc[:, :, WIDTH:].copy()
-        dv = s["a"].transpose(0, 2, 1) @ do
-        da = do @ s["v"].transpose(0, 2, 1)
-        da = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True))
-        dq, dk = da @ s["k"] * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ s["q"]
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(s["e"]).T @ flat(d)
-            de += d @ p[name].T
-        g["place"] = de.sum(axis=0)
-        g["embed"] = np.zeros(SHAPES["embed"], np.float32)
-        np.add.at(g["embed"], x.ravel(), flat(de))
+        g["mix"], g["bias"] = c.T @ dh, dh.sum(axis=0)
+        dc = np.zeros((len(e), 2 * WIDTH), np.float32)
+        dc[rows] = dh @ p["mix"].T
+        do, de = dc[:, :WIDTH].reshape(*x.shape, WIDTH), dc[:, WIDTH:]
+        da = do @ v.transpose(0, 2, 1)
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        d = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do), axis=2).reshape(-1, 3 * WIDTH)
+        g["q"], g["k"], g["v"] = np.split(e.T @ d, 3, axis=1)
+        g["q"] = g["q"] * scale
+        de = de + d @ project.T
+        g["place"] = de.reshape(*x.shape, WIDTH).sum(axis=0)
+        cells = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["embed"] = np.bincount(cells.ravel(), de.ravel(), SIZES["embed"])
         return loss, np.concatenate([g[n].ravel() for n in NAMES]).astype(np.float32)
 
 
@@ -179,6 +180,7 @@ def fit(flat: np.ndarray, bigram: np.ndarray, blocks: Iterator[tuple[np.ndarray,
     Where that gives fewer than ``least`` steps, the windows are drawn again until it does.
     """
     flat, m, v = flat.copy(), np.zeros(PARAMETERS, np.float32), np.zeros(PARAMETERS, np.float32)
+    bigram = bigram.astype(np.float32)
     k = seen = 0
 
     def step(x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
