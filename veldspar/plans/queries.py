@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import comprehension as C
 from ..operators import frames as R
 from ..operators import schema as S
+from ..operators import values as V
 from ..functions.registry import MATH
 from ..sources import jsonschema
 
@@ -470,5 +471,42 @@ def net_addresses(t):
     return d.select("o_orderkey", "a", X.loopback_ip(a).alias("loopback"), X.multicast_ip(a).alias("multicast"), X.global_unicast_ip(a).alias("unicast"), X.in_cidr(a, "10.0.0.0/8").alias("inside"), X.ipv6(F.concat(F.lit("::ffff:"), a)).alias("v6"))
 
 
+@query("""SELECT path, pointer, count(*)::BIGINT AS n, min(v) AS least, max(v) AS most FROM (SELECT 'key' AS path, '/key' AS pointer, o_orderkey::VARCHAR AS v FROM orders
+UNION ALL SELECT 'by.cust', '/by/cust', o_custkey::VARCHAR FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT 'by.tags[0]', '/by/tags/0', o_orderstatus FROM orders
+UNION ALL SELECT 'by.tags[1]', '/by/tags/1', o_orderpriority FROM orders UNION ALL SELECT '"at/' || o_orderstatus || '"', '/at~1' || o_orderstatus, o_orderpriority FROM orders) GROUP BY path, pointer""")
+def value_walk(t):
+    """Leaves of a nested value with an absent field, a list and names that need quotes."""
+    by = F.struct(F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("cust"), F.array("o_orderstatus", "o_orderpriority").alias("tags"))
+    d = t("orders").select(F.struct(F.col("o_orderkey").alias("key"), by.alias("by")).alias("v"), F.create_map(F.concat(F.lit("at/"), "o_orderstatus"), F.col("o_orderpriority")).alias("m"))
+    leaves = d.select(F.explode(F.concat(V.walk(d["v"], d.schema["v"].dataType), V.walk(d["m"], d.schema["m"].dataType))).alias("leaf")).select("leaf.*")
+    return leaves.groupBy("path", "pointer").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE 'BUILDING' END AS segment, c_acctbal > 0 AND c_mktsegment <> 'BUILDING' AS conflict, c_nationkey AS nation FROM customer""")
+def value_fill_path(t):
+    d = t("customer").select("c_custkey", "c_nationkey", F.struct(F.struct(F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("segment")).alias("of")).alias("v"))
+    filled, conflict = V.fill_path(d["v"], d.schema["v"].dataType, "of.segment", F.lit("BUILDING"))
+    d = d.select("c_custkey", "c_nationkey", filled.alias("v"), conflict.alias("conflict"))
+    filled, _ = V.fill_path(d["v"], d.schema["v"].dataType, "place.nation.key", F.col("c_nationkey"))
+    d = d.select("c_custkey", "conflict", filled.alias("v"))
+    kind = d.schema["v"].dataType
+    return d.select("c_custkey", V.at_pointer(d["v"], kind, "/of/segment").alias("segment"), "conflict", V.at_pointer(d["v"], kind, "/place/nation/key").alias("nation"))
+
+
+@query("SELECT p_size = 10 AS same, count(*)::BIGINT AS n, count(DISTINCT p_size)::BIGINT AS kinds FROM part GROUP BY 1")
+def value_equals(t):
+    """Maps are equal whatever the order of their entries, and can be counted as values."""
+    m = lambda *kv: F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in kv])
+    d = t("part").select(F.array(m("a", F.col("p_size"), "b", F.lit(1))).alias("x"), F.array(m("b", F.lit(1), "a", F.lit(10))).alias("y"))
+    kind = d.schema["x"].dataType
+    return d.groupBy(V.equals(d["x"], d["y"], kind).alias("same")).agg(F.count("*").alias("n"), F.count_distinct(V.canonical(d["x"], kind)).alias("kinds"))
+
+
+@query("SELECT c_custkey, c_name || ' (' || c_custkey::VARCHAR || ') in ' || c_nationkey::VARCHAR AS line FROM customer")
+def interpolation(t):
+    d = t("customer")
+    return d.select("c_custkey", V.interpolate(r"\(name) (\( key )) in \(nation)", name=d["c_name"], key=d["c_custkey"], nation=d["c_nationkey"]).alias("line"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)
