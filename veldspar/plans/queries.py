@@ -14,7 +14,7 @@ from ..operators import frames as R
 from ..operators import schema as S
 from ..operators import values as V
 from ..functions.registry import MATH
-from ..sources import jsonschema
+from ..sources import jsonschema, openapi
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,5 +508,17 @@ def interpolation(t):
     return d.select("c_custkey", V.interpolate(r"\(name) (\( key )) in \(nation)", name=d["c_name"], key=d["c_custkey"], nation=d["c_nationkey"]).alias("line"))
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'F') AND (o_totalprice >= 1000 AND o_totalprice < 200000) AND (o_custkey % 2 = 0 OR o_orderpriority LIKE '%-%')")
+def openapi_orders(t):
+    """Orders that an OpenAPI component accepts: a reference, a nullable field, an exclusive bound in the older spelling."""
+    doc = {"components": {"schemas": {
+        "Price": {"type": "number", "minimum": 1000, "maximum": 200000, "exclusiveMaximum": True, "example": 2000.5},
+        "Order": {"type": "object", "required": ["status", "price"], "properties": {"status": {"type": "string", "enum": ["O", "F"]}, "price": {"$ref": "#/components/schemas/Price"}, "priority": {"type": "string", "nullable": True, "pattern": "-"}}},
+    }}}
+    price, priority = F.col("o_totalprice"), F.when(F.col("o_custkey") % 2 == 1, F.col("o_orderpriority"))
+    d = t("orders").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), price.alias("price"), priority.alias("priority")).alias("o"))
+    return d.where(S.matches(openapi.extract(doc, "Order"), d["o"], d.schema["o"].dataType)).select("o_orderkey")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)

@@ -14,12 +14,15 @@ def vetted(stream: DataFrame, s: S.Struct) -> DataFrame:
 
 
 def split(stream: DataFrame, s: S.Struct, good: str, rejected: str, checkpoint: str, **options):
-    """Start a query that writes each micro-batch's rows to ``good`` or, with their violations, to ``rejected``."""
+    """Start a query that writes each micro-batch's rows to ``good`` or, with their violations, to ``rejected``.
+
+    Each micro-batch has a folder of its own (read as column ``batch``), so one that is run again replaces what it wrote.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         batch.persist()
-        batch.where(F.size("violations") == 0).drop("violations").withColumn("batch", F.lit(n)).write.mode("append").parquet(good)
-        batch.where(F.size("violations") > 0).withColumn("batch", F.lit(n)).write.mode("append").parquet(rejected)
+        batch.where(F.size("violations") == 0).drop("violations").write.mode("overwrite").parquet(f"{good}/batch={n}")
+        batch.where(F.size("violations") > 0).write.mode("overwrite").parquet(f"{rejected}/batch={n}")
         batch.unpersist()
 
     return vetted(stream, s).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).options(**options).start()
