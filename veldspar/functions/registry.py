@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import arithmetic as A
 from . import numbers as N
 from . import text as X
 
@@ -26,7 +27,7 @@ STRINGS = {
 }
 LIST = {
     "Drop": N.drop, "FlattenN": N.flatten, "Repeat": N.repeat, "Concat": N.concat, "Take": N.take, "Slice": N.slice_, "Reverse": N.reverse, "MinItems": N.min_items, "MaxItems": N.max_items, "UniqueItems": N.unique_items, "Contains": N.contains, "MatchN": N.match_n,
-    "Avg": N.list_avg, "Max": N.list_max, "Min": N.list_min, "Product": N.list_product, "Range": N.range_, "Sum": N.list_sum, "Sort": N.sort, "SortStrings": N.sort, "IsSorted": N.is_sorted, "IsSortedStrings": N.is_sorted,
+    "Avg": N.list_avg, "Max": N.list_max, "Min": N.list_min, "Product": N.list_product, "Range": N.range_, "Sum": N.list_sum, "Sort": lambda a, less=None: A.sort_by(a, less) if less else N.sort(a), "SortStable": A.sort_by, "SortStrings": N.sort, "IsSorted": N.is_sorted, "IsSortedStrings": N.is_sorted,
 }
 NET = {
     "SplitHostPort": X.split_host_port, "JoinHostPort": X.join_host_port, "FQDN": X.fqdn, "IPv4": X.ipv4, "IPv6": X.ipv6, "IP": X.ip, "IPCIDR": X.ip_cidr, "LoopbackIP": X.loopback_ip, "MulticastIP": X.multicast_ip, "GlobalUnicastIP": X.global_unicast_ip, "UnspecifiedIP": X.unspecified_ip,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import arithmetic as A
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import comprehension as C
@@ -520,5 +521,26 @@ def openapi_orders(t):
     return d.where(S.matches(openapi.extract(doc, "Order"), d["o"], d.schema["o"].dataType)).select("o_orderkey")
 
 
+@query("""SELECT p_partkey, p_partkey + p_size AS total, p_size::BIGINT * 3 AS three, p_brand || p_type AS label, repeat('ab', p_size % 4) AS bar,
+CASE WHEN p_size % 3 <> 0 THEN round(p_retailprice / (p_size % 3), 6) END AS share, strlen(p_name)::INT AS bytes, (p_size * 1024)::BIGINT AS kib FROM part""")
+def arithmetic_kinds(t):
+    d = t("part")
+    kind = {f.name: f.dataType for f in d.schema.fields}
+    size, whole = F.col("p_size"), kind["p_size"]
+    return d.select(
+        "p_partkey", A.add(d["p_partkey"], kind["p_partkey"], size, whole).alias("total"), A.multiply(size, whole, F.lit(3), whole).alias("three"), A.add(d["p_brand"], kind["p_brand"], d["p_type"], kind["p_type"]).alias("label"),
+        A.multiply(F.lit("ab"), kind["p_name"], size % 4, whole).alias("bar"), F.round(A.divide(d["p_retailprice"], kind["p_retailprice"], size % 3, whole), 6).alias("share"),
+        A.length(d["p_name"], kind["p_name"]).alias("bytes"), A.number_literal(F.concat(size.cast("string"), F.lit("Ki"))).cast("long").alias("kib"),
+    )
+
+
+@query("""SELECT vec_id, round(s[1].x::DOUBLE, 6) AS first, round(s[2].x::DOUBLE, 6) AS second, round(s[-1].x::DOUBLE, 6) AS last
+FROM (SELECT vec_id, list_sort(list_transform(embedding, lambda x, i: {'k': abs(x), 'i': i, 'x': x})) AS s FROM embeddings)""")
+def list_sort_comparator(t):
+    """Vectors' elements by size without sign, equal ones in their order."""
+    d = t("embeddings").select("vec_id", A.sort_by(F.col("embedding"), lambda x, y: F.abs(x) < F.abs(y)).alias("s"))
+    return d.select("vec_id", *[F.round(F.get("s", at).cast("double"), 6).alias(n) for n, at in (("first", F.lit(0)), ("second", F.lit(1)), ("last", F.size("s") - 1))])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)
