@@ -31,6 +31,7 @@ def cases():
         (X.ip_cidr(L("10.0.0.0/33")), False), (X.ip_cidr(L("10.0.0.0/8")), True), (X.ip_cidr(L("fe80::/128")), True), (X.ip_cidr(L("10.0.0.0")), False), (X.ip_cidr(L("10.0.0.0/08")), False), (X.to_ip4(L("1.2.3.4")), [1, 2, 3, 4]), (X.global_unicast_ip(L("8.8.8.8")), True), (X.global_unicast_ip(L("127.0.0.1")), False), (X.global_unicast_ip(L("x")), False),
         (X.uuid_parse(L("{6BA7B810-9DAD-11D1-80B4-00C04FD430C8}")), "6ba7b810-9dad-11d1-80b4-00c04fd430c8"), (X.uuid_urn(L("6ba7b8109dad11d180b400c04fd430c8")), "urn:uuid:6ba7b810-9dad-11d1-80b4-00c04fd430c8"), (X.uuid_parse(L("6ba7b810-9dad-11d1-80b400c04fd430c8")), None), (X.uuid_variant(L("6ba7b810-9dad-11d1-c0b4-00c04fd430c8")), 3), (X.uuid_variant(L("x")), None),
         (N.to_unix_nano(L("1970-01-01T00:00:01.0000005Z")), 1_000_000_500), (N.duration_valid(L("1h")), True), (N.match_n(F.array(L(1), L(2), L(3)), 2, lambda x: x > 1), True), (N.min_fields(F.create_map(L("a"), L(1)), 2), False),
+        (X.csv_encode(F.array(F.array(L("a"), L("b,c"), L('d"')), F.array(L(" e"), L(None).cast("string"), L("f\n")))), 'a,"b,c","d"""\n" e",,"f\n"\n'), (X.csv_encode(F.array().cast("array<array<string>>")), ""),
         (N.signbit(L(-0.0)), True), (N.copysign(L(3.0), L(-0.0)), -3.0),
     ]
 

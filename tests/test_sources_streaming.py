@@ -30,3 +30,11 @@ def test_stream_is_split(spark, tmp_path):
     q.stop()
     assert spark.read.parquet(good).count() == 7
     assert spark.read.parquet(bad).count() == 3
+    done = tmp_path / "ck" / "commits"
+    for f in ("0", ".0.crc"):
+        (done / f).unlink(missing_ok=True)
+    q = vet.split(spark.readStream.schema("n long").parquet(src), S.struct(n=S.Bound("<", 7)), good, bad, str(tmp_path / "ck"))
+    q.processAllAvailable()  # the only batch again, as after a loss before its commit
+    q.stop()
+    assert q.recentProgress and q.recentProgress[0]["batchId"] == 0
+    assert spark.read.parquet(good).count() == 7 and spark.read.parquet(bad).count() == 3

@@ -43,6 +43,7 @@ PACKAGES = {
     "html": {"Escape": X.html_escape, "Unescape": X.html_unescape},
     "encoding/base64": {"EncodedLen": X.base64_encoded_len, "DecodedLen": X.base64_decoded_len, "Encode": X.base64_encode, "Decode": X.base64_decode},
     "encoding/hex": {"EncodedLen": X.hex_encoded_len, "DecodedLen": X.hex_decoded_len, "Encode": X.hex_encode, "Decode": X.hex_decode},
+    "encoding/csv": {"Encode": X.csv_encode},
     "encoding/json": {"Valid": X.json_valid, "Compact": X.json_compact, "HTMLEscape": X.json_html_escape, "Marshal": X.json_marshal, "Unmarshal": X.json_unmarshal},
 }
 

@@ -269,6 +269,10 @@ def hex_decoded_len(n: Column) -> Column: return F.call_function("div", n, F.lit
 def json_compact(s: Column) -> Column:
     """White space outside of strings removed; null if it is not JSON."""
     return F.when(json_valid(s), F.regexp_replace(s, r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s+', "$1"))
+def csv_encode(rows: Column) -> Column:
+    """A list of lists of strings as CSV lines; fields with commas, quotes, line ends or a space in front are quoted, nulls are empty."""
+    field = lambda v: F.when(v.rlike(r'[,"\r\n]|\A[ \t]'), F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(v, F.lit("")))
+    return F.array_join(F.transform(rows, lambda row: F.concat(F.array_join(F.transform(row, field), ","), F.lit("\n"))), "")
 def json_html_escape(s: Column) -> Column:
     for c in "<>&\u2028\u2029":
         s = F.replace(s, F.lit(c), F.lit(f"\\u{ord(c):04x}"))

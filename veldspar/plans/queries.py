@@ -542,5 +542,12 @@ def list_sort_comparator(t):
     return d.select("vec_id", *[F.round(F.get("s", at).cast("double"), 6).alias(n) for n, at in (("first", F.lit(0)), ("second", F.lit(1)), ("last", F.size("s") - 1))])
 
 
+@query("""SELECT p_partkey, '"' || p_name || ',' || p_brand || '",' || repeat('"', 3) || p_type || '"' || chr(10) || p_size::VARCHAR || ',' || chr(10) AS csv FROM part""")
+def csv_encode(t):
+    """Parts as CSV texts of two lines, with fields that need quotes and an absent one."""
+    first = F.array(F.concat_ws(",", "p_name", "p_brand"), F.concat(F.lit('"'), "p_type"))
+    return t("part").select("p_partkey", X.csv_encode(F.array(first, F.array(F.col("p_size").cast("string"), F.lit(None).cast("string")))).alias("csv"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["vet_violation_rows"](spark, sf_dir)
