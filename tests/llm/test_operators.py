@@ -313,6 +313,29 @@ def test_quality_trusts_no_toxic_documents(spark):
     assert sorted(r["_id"] for r in quality_rules.trusted(labels).collect()) == [1, 3]
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    n, marked, fit = 120_000, [], quality_rules.multinomials
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id % 7) AS text")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_rules, "multinomials", lambda rows: (marked.append(rows.where("fold > 0").count()), fit(rows))[1])
+        quality_rules.judge(docs, spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic"))
+    assert marked == [n]
+
+
+def test_quality_scores_by_the_other_folds(spark, sf):
+    docs = [(d, words(t)) for d, t, *_ in sf[1]]
+    row = spark.createDataFrame([(d, w) for d, w in docs], "d long, w array<string>").select("d", quality_rules.grams(F.col("w")).alias("g"), F.expr("1 + pmod(xxhash64(d, 'fold'), 4)").alias("fold")).collect()
+    good, size = {24, 27}, quality_rules.BUCKETS
+    raw = Counter(b for r in row for b in r["g"])
+    of = {f: Counter(b for r in row if r["d"] in good and r["fold"] != f for b in r["g"]) for f in range(5)}
+    want = []
+    for r in row:
+        c = of[r["fold"] if r["d"] in good and sum(of[r["fold"]].values()) else 0]
+        each = [np.log((c[b] + 1) / (sum(c.values()) + size)) - np.log((raw[b] + 1) / (sum(raw.values()) + size)) for b in r["g"]]
+        want.append((r["d"], round(float(np.mean(each)) if each else 0.0, 4) + 0.0))
+    same([(r["doc_id"], round(r["llr"], 4) + 0.0) for r in quality_rules.op7(spark, sf[0]).collect()], want)
+
+
 def test_language(spark, sf):
     got = language_id.op8(spark, sf[0]).collect()
     assert len(got) == len(sf[1])
