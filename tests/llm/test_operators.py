@@ -286,6 +286,36 @@ def test_pii_learns_a_pattern(spark):
     assert len(got[50]) == 1 and not got[51]
 
 
+def test_attention_gradient_is_the_slope():
+    attention, rng = lm_scoring.A, np.random.default_rng(3)
+    flat = attention.initial() + rng.normal(0, 0.1, attention.PARAMETERS)
+    bigram = np.log(rng.dirichlet(np.ones(attention.CLASSES), attention.CLASSES + 1))
+    lens = np.array([1, 5, 32, 33, 90])
+    c = rng.integers(0, attention.CLASSES, lens.sum())
+    x, y, scored = attention.windows(c, lens)
+    loss, g = attention.Model(flat, bigram).gradient(x, y, scored)
+    lp, _ = attention.Model(flat.astype(np.float32), bigram).log_probability(x, y, 80)
+    assert abs(loss + lp[scored].mean()) < 1e-4
+    at = 0
+    for name in attention.NAMES:  # along a random direction in each array of the parameters
+        way = np.zeros(attention.PARAMETERS)
+        way[at : at + attention.SIZES[name]] = rng.normal(size=attention.SIZES[name])
+        at += attention.SIZES[name]
+        up, down = (attention.Model(flat + e * way, bigram).gradient(x, y, scored)[0] for e in (1e-3, -1e-3))
+        assert abs((up - down) / 2e-3 - g @ way) < 1e-2 * (abs(g @ way) + 0.05), name
+
+
+def test_memory_of_training_steps_is_kept():
+    resource = pytest.importorskip("resource")
+    lm_scoring.A.keep_pages()
+    faults = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    for k in range(20):
+        if k == 10:
+            before = faults()
+        np.ones(250_000, np.float32) + np.ones(250_000, np.float32)
+    assert faults() - before < 2_000  # each array is 244 pages: without it about 7,000
+
+
 def test_quality(spark, sf):
     want = []
     for d, t, *_ in sf[1]:

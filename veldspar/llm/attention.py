@@ -10,11 +10,23 @@ a word ends: that of the classes from ``start`` on, in which the end of a text i
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 
 CLASSES = 160
+
+
+def keep_pages() -> None:
+    """From now on this process keeps freed pages for its next arrays, 64 MB at most: a step makes arrays of up to 1 MB again
+    and again, and the C library would give each back to the system, whose fresh pages cost more than the arithmetic."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # of glibc
+    if mallopt:
+        for name, most in ((-3, 32 << 20), (-1, 64 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD
+            mallopt(name, most)
+
+
 #: Classes that share the ids without a class of their own, for either kind of id; the last class is the end of a text.
 SHARED = 8
 WIDTH = 16
@@ -143,26 +155,27 @@ class Model:
         a += FUTURE
         a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        c = np.concatenate(((a @ v).reshape(-1, WIDTH)[rows], e[rows]), axis=1)
+        a /= a @ np.ones((WINDOW, 1), np.float32)
+        o = a @ v
+        c = np.concatenate((o.reshape(-1, WIDTH)[rows], e[rows]), axis=1)
         h = np.tanh(c @ p["mix"] + p["bias"])
         z = h @ p["out"]
         z += (self.bigram + p["skip"]).take(before, axis=0)
         z -= z.max(axis=1, keepdims=True)
         target = z[at, y.ravel()[rows]]
         np.exp(z, out=z)
-        total = z.sum(axis=1)
+        total = z @ np.ones(CLASSES, np.float32)
         loss = float((np.log(total) - target).mean())
-        z *= (1 / (total * np.float32(n)))[:, None]
-        z[at, y.ravel()[rows]] -= np.float32(1 / n)
-        g = {"out": h.T @ z, "skip": z.sum(axis=0)}
-        dh = (z @ p["out"].T) * (1 - h * h)
+        z[at, y.ravel()[rows]] -= total
+        part = 1 / (total * np.float32(n))  # what the rows of z are to be multiplied by: done on narrower arrays
+        g = {"out": (h * part[:, None]).T @ z, "skip": part @ z}
+        dh = (z @ p["out"].T) * (1 - h * h) * part[:, None]
         g["mix"], g["bias"] = c.T @ dh, dh.sum(axis=0)
         dc = np.zeros((len(e), 2 * WIDTH), np.float32)
         dc[rows] = dh @ p["mix"].T
         do, de = dc[:, :WIDTH].reshape(*x.shape, WIDTH), dc[:, WIDTH:]
         da = do @ v.transpose(0, 2, 1)
-        da -= (da * a).sum(axis=2, keepdims=True)
+        da -= (do * o) @ np.ones((WIDTH, 1), np.float32)  # the sums of da * a over the keys
         da *= a
         d = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do), axis=2).reshape(-1, 3 * WIDTH)
         g["q"], g["k"], g["v"] = np.split(e.T @ d, 3, axis=1)

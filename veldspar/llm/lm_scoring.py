@@ -207,6 +207,7 @@ def of_round(training: DataFrame, nth: int) -> DataFrame:
 
 def _trainer(path: str, shared, nth: int):
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        A.keep_pages()
         flat, bigram, classes = shared.value
         context = TaskContext.get()
         rng = np.random.default_rng([5, nth, context.partitionId() if context else 0])
@@ -257,6 +258,7 @@ _SCORED = "row long, doc_id long, held_out boolean, n_words long, head_known lon
 
 def _scorer(path: str, shared):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        A.keep_pages()
         s: Scorer = shared.value
         v, counts = Vocabulary(path), np.zeros(0, np.int64)
         for rows, held in _blocks(batches):
