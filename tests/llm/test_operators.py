@@ -305,6 +305,60 @@ def test_attention_gradient_is_the_slope():
         assert abs((up - down) / 2e-3 - g @ way) < 1e-2 * (abs(g @ way) + 0.05), name
 
 
+def test_attention_with_large_logits():
+    attention, rng = lm_scoring.A, np.random.default_rng(4)
+    flat = attention.initial() + rng.normal(0, 0.1, attention.PARAMETERS)
+    bigram = np.log(rng.dirichlet(np.ones(attention.CLASSES), attention.CLASSES + 1))
+    lens = np.array([3, 40, 70])
+    x, y, scored = attention.windows(rng.integers(0, attention.CLASSES, lens.sum()), lens)
+    for times in (1, 300):  # exponentials of these logits do not fit single precision as they are
+        p = attention.parts(big := (flat * times).astype(np.float32))
+        loss, g = attention.Model(big, bigram).gradient(x, y, scored)
+        lp, _ = attention.Model(big, bigram).log_probability(x, y, 80)
+        assert np.isfinite(g).all() and abs(loss + lp[scored].mean()) < 1e-4 * max(1, loss)
+        assert attention.bounded(p["out"], bigram + p["skip"]) == (times == 1)
+
+
+def test_texts_are_read_and_encoded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    docs = spark.createDataFrame([(i, prose(30)) for i in range(40)], "doc_id long, text string").mapInPandas(count, "doc_id long, text string")
+    assert len(lm_scoring.score(docs, F.col("doc_id") % 7 == 2).collect()) == 40
+    assert seen.value == 40
+
+
+def test_encoded_words_and_keys(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path(lm_scoring.TOKENIZER)
+    known = lm_scoring.known_ids(path)
+    texts = ["", " \n", "a  B\tÉ a\x0b", "x\xa0y \x1c z", "z" * 5000, " ".join("q%d r%d" % (i, i * i) for i in range(20_000)), "end", "aa ab ba bb aab aba baa"] * 3
+    rows = pa.table({"doc_id": range(len(texts)), "held_out": [False] * len(texts), "h": range(len(texts)), "text": texts})
+    monkeypatch.setattr(lm_scoring, "BYTES", 5000)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 1000)
+    got = pd.concat(b.to_pandas() for b in lm_scoring._encoder(path)(iter(rows.to_batches(max_chunksize=5))))
+    held = [lm_scoring.words(t) for t in texts]
+    assert got["doc_id"].tolist() == list(range(len(texts))) and got["n_words"].tolist() == [len(h) for h in held]
+    ids = [np.frombuffer(b, "<u2") for b in got["ids"]]
+    for h, i in zip(held, ids, strict=True):
+        assert i.tolist() == (known.of(h)[0].tolist() if h else [])
+    counts = pd.concat(lm_scoring._counter(SimpleNamespace(value=known.starts))(iter([got])))
+    by_key = counts[counts["kind"] == lm_scoring.WORD].groupby("key")["n"].sum()
+    assert sorted(by_key) == sorted(Counter(w for h in held for w in h).values())  # a key for each word
+    keys = lm_scoring.Keys(known.n)
+    pairs = np.array([(i, j) for i in range(300) for j in range(300)]).ravel()
+    assert len(np.unique(keys.of(pairs, np.arange(0, len(pairs), 2)))) == 90_000
+    found = np.unique(keys.of(np.concatenate(ids), np.flatnonzero(known.starts[np.concatenate(ids)])))
+    scorer = lm_scoring.Scorer(lm_scoring.A.initial(), np.zeros((lm_scoring.A.CLASSES + 1, lm_scoring.A.CLASSES)), np.zeros(known.n, np.int16), 80, np.zeros(known.n), found[::2], np.arange(1, len(found[::2]) + 1), 1, 1, 1)
+    assert scorer.counts(found).tolist() == [k // 2 + 1 if k % 2 == 0 else 0 for k in range(len(found))]
+
+
 def test_memory_of_training_steps_is_kept():
     resource = pytest.importorskip("resource")
     lm_scoring.A.keep_pages()

@@ -33,6 +33,7 @@ WIDTH = 16
 HIDDEN = 16
 #: Positions of a window, and those at its front that are context only (but in a text's first window).
 WINDOW, CONTEXT = 32, 16
+assert WINDOW == 2 * CONTEXT  # ``gradient`` takes queries by halves of windows
 END, BEGIN = CLASSES - 1, CLASSES
 
 
@@ -63,17 +64,18 @@ def windows(classes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarr
     step = WINDOW - CONTEXT
     ends = np.cumsum(lens)
     starts = ends - lens
-    inputs = np.concatenate(([BEGIN], classes[:-1])).astype(np.int64)
+    room = np.zeros(WINDOW, np.int16)
+    targets = np.concatenate((classes.astype(np.int16), room))
+    inputs = np.concatenate(([np.int16(BEGIN)], targets[:-1]))
     inputs[starts] = BEGIN
     n = 1 + np.maximum(0, -(-(lens - WINDOW) // step))
     text = np.repeat(np.arange(len(lens)), n)
     nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     first = starts[text] + nth * step
-    at = first[:, None] + np.arange(WINDOW)
-    inside = at < ends[text][:, None]
-    at = np.where(inside, at, first[:, None])
-    scored = inside & ((nth == 0)[:, None] | (np.arange(WINDOW) >= CONTEXT))
-    return inputs[at], classes[at].astype(np.int64), scored
+    place = np.arange(WINDOW)
+    scored = (place < (ends[text] - first)[:, None]) & (place >= np.where(nth, CONTEXT, 0)[:, None])
+    # what follows a text's end is neither scored nor seen by what is
+    return (*(np.lib.stride_tricks.sliding_window_view(m, WINDOW)[first] for m in (inputs, targets)), scored)
 
 
 NAMES = ("embed", "place", "q", "k", "v", "mix", "bias", "out", "skip")
@@ -100,6 +102,27 @@ def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 FUTURE = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+#: Exponentials of logits this far from 0 and their sums stay well inside single precision.
+STEADY = 60.0
+
+
+def steady(z: np.ndarray) -> bool:
+    """Whether exponentials of all logits can be summed as they are; if not, each row's maximum is to be taken off first."""
+    return z.max() < STEADY and z.min() > -STEADY
+
+
+def bounded(out: np.ndarray, prior: np.ndarray) -> bool:
+    """``steady`` for all logits that a hidden layer between -1 and 1 can give."""
+    return np.abs(out).sum(axis=0).max() + max(prior.max(), -prior.min()) < STEADY
+
+
+def class_sums(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of rows by their class (or BEGIN)."""
+    n = np.bincount(classes, minlength=CLASSES + 1)
+    found, first = np.flatnonzero(n), np.cumsum(n) - n
+    out = np.zeros((CLASSES + 1, values.shape[1]), np.float32)
+    out[found] = np.add.reduceat(values.take(np.argsort(classes, kind="stable"), axis=0), first[found])
+    return out
 
 
 class Model:
@@ -121,10 +144,13 @@ class Model:
         """Natural log probability of each target from position ``first``, and of any class from ``start`` on."""
         if not hasattr(self, "_tables"):
             self._tables = self.tables()
+            self._bounded = bounded(self.p["out"], self._tables["big"])
         t, xq = self._tables, x[:, first:]
         a = (t["q"].take(xq, axis=0) + t["qp"][first:]) @ (t["k"].take(x, axis=0) + t["kp"]).transpose(0, 2, 1)
+        fits = steady(a)
         a += FUTURE[first:]
-        a -= a.max(axis=2, keepdims=True)
+        if not fits:
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
         h = a @ (t["v"].take(x, axis=0) + t["vp"])
         h /= a @ np.ones((WINDOW, 1), np.float32)
@@ -133,7 +159,8 @@ class Model:
         np.tanh(h, out=h)
         z = h.reshape(-1, HIDDEN) @ self.p["out"]
         z += t["big"].take(xq.ravel(), axis=0)
-        z -= z.max(axis=1, keepdims=True)
+        if not self._bounded:
+            z -= z.max(axis=1, keepdims=True)
         target = z[np.arange(len(z)), y[:, first:].ravel()]
         np.exp(z, out=z)
         halves = np.zeros((CLASSES, 2), np.float32)  # the classes before ``start``, and from it on
@@ -144,47 +171,75 @@ class Model:
         return (target - total).reshape(len(x), -1), (np.log(begin) - total).reshape(len(x), -1)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean loss of the scored targets and its gradient. Only scored positions go through the hidden layer and the classes."""
-        p, scale = self.p, np.float32(WIDTH**-0.5)
-        rows = np.flatnonzero(scored.ravel())
-        n, at, before = len(rows), np.arange(len(rows)), x.ravel()[rows]
-        e = (p["embed"].take(x.ravel(), axis=0).reshape(*x.shape, WIDTH) + p["place"]).reshape(-1, WIDTH)
-        project = np.concatenate((p["q"] * scale, p["k"], p["v"]), axis=1)
-        q, k, v = (m.reshape(*x.shape, WIDTH) for m in np.split(e @ project, 3, axis=1))
+        """Mean loss of the scored targets and its gradient. Only scored halves of windows are queries.
+
+        What classes and places give to queries, keys, values and the hidden layer is gathered from tables, and the tables'
+        gradients are sums over the rows of a class or a place; so no product is as long as the rows.
+        """
+        p, scale, n_out = self.p, np.float32(WIDTH**-0.5), int(scored.sum())
+        mix, inner = p["mix"][:WIDTH], p["mix"][WIDTH:]
+        weights = np.concatenate((p["q"] * scale, inner, p["k"], p["v"] @ mix), axis=1)
+        (q, m, k, v), (q_at, m_at, k_at, v_at) = (np.split(e @ weights, (WIDTH, WIDTH + HIDDEN, 2 * WIDTH + HIDDEN), axis=1) for e in (p["embed"], p["place"]))
+        # the windows with their ends as queries, then those whose fronts are scored too once more
+        front = np.flatnonzero(scored[:, :CONTEXT].any(axis=1))
+        halves = ((slice(len(x)), slice(CONTEXT, WINDOW)), (slice(len(x), None), slice(CONTEXT)))
+        own = lambda m: np.concatenate((m[:, CONTEXT:], m[front, :CONTEXT])).ravel()
+        before, wanted, on, keys = own(x), own(y), own(scored).astype(np.float32), np.concatenate((x, x[front]))
+        at, shape = np.arange(len(on)), (len(keys), CONTEXT, -1)
+        k, v = k.take(keys, axis=0), v.take(keys, axis=0)
+        k += k_at
+        v += v_at
+        q, h = q.take(before, axis=0).reshape(shape), (m + p["bias"]).take(before, axis=0).reshape(shape)
+        for some, places in halves:
+            q[some] += q_at[places]
+            h[some] += m_at[places]
         a = q @ k.transpose(0, 2, 1)
-        a += FUTURE
-        a -= a.max(axis=2, keepdims=True)
+        fits = steady(a)
+        for some, places in halves:
+            a[some] += FUTURE[places]
+        if not fits:
+            a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a @ np.ones((WINDOW, 1), np.float32)
-        o = a @ v
-        c = np.concatenate((o.reshape(-1, WIDTH)[rows], e[rows]), axis=1)
-        h = np.tanh(c @ p["mix"] + p["bias"])
-        z = h @ p["out"]
-        z += (self.bigram + p["skip"]).take(before, axis=0)
-        z -= z.max(axis=1, keepdims=True)
-        target = z[at, y.ravel()[rows]]
+        sums = 1 / (a.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32))[:, None]
+        o = (a @ v).reshape(-1, HIDDEN)
+        o *= sums
+        h = h.reshape(-1, HIDDEN)
+        h += o
+        np.tanh(h, out=h)
+        z, prior = h @ p["out"], self.bigram + p["skip"]
+        z += prior.take(before, axis=0)
+        if not bounded(p["out"], prior):
+            z -= z.max(axis=1, keepdims=True)
+        hit = z[at, wanted]
         np.exp(z, out=z)
         total = z @ np.ones(CLASSES, np.float32)
-        loss = float((np.log(total) - target).mean())
-        z[at, y.ravel()[rows]] -= total
-        part = 1 / (total * np.float32(n))  # what the rows of z are to be multiplied by: done on narrower arrays
-        g = {"out": (h * part[:, None]).T @ z, "skip": part @ z}
-        dh = (z @ p["out"].T) * (1 - h * h) * part[:, None]
-        g["mix"], g["bias"] = c.T @ dh, dh.sum(axis=0)
-        dc = np.zeros((len(e), 2 * WIDTH), np.float32)
-        dc[rows] = dh @ p["mix"].T
-        do, de = dc[:, :WIDTH].reshape(*x.shape, WIDTH), dc[:, WIDTH:]
-        da = do @ v.transpose(0, 2, 1)
-        da -= (do * o) @ np.ones((WIDTH, 1), np.float32)  # the sums of da * a over the keys
+        loss = float((np.log(total) - hit) @ on) / n_out
+        z[at, wanted] -= total
+        part = on / (total * np.float32(n_out))  # what the rows of z are to be multiplied by: done on narrower arrays
+        left = np.empty((len(h), HIDDEN + 1), np.float32)
+        np.multiply(h, part[:, None], out=left[:, :HIDDEN])
+        left[:, HIDDEN] = part
+        product = (z.T @ left).T
+        g = {"out": product[:HIDDEN], "skip": product[HIDDEN]}
+        dh = z @ p["out"].T
+        dh *= 1 - h * h
+        dh *= part[:, None]
+        do = dh * sums  # a is not divided by its sums
+        da = do.reshape(shape) @ v.transpose(0, 2, 1)
+        da -= ((do * o) @ np.ones(HIDDEN, np.float32)).reshape(shape)  # the sums of da * a over the keys
         da *= a
-        d = np.concatenate((da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do), axis=2).reshape(-1, 3 * WIDTH)
-        g["q"], g["k"], g["v"] = np.split(e.T @ d, 3, axis=1)
+        dq = np.concatenate(((da @ k).reshape(-1, WIDTH), dh), axis=1)
+        dk = np.concatenate((da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do.reshape(shape)), axis=2)
+        by_place = np.zeros((WINDOW, weights.shape[1]), np.float32)
+        for some, places in halves:
+            by_place[places, : dq.shape[1]] += dq.reshape(shape)[some].sum(axis=0)
+        by_place[:, dq.shape[1] :] = dk.sum(axis=0)
+        by_class = np.concatenate((class_sums(before, dq), class_sums(keys.ravel(), dk.reshape(len(keys) * WINDOW, -1))), axis=1)
+        g["embed"], g["place"] = by_class @ weights.T, by_place @ weights.T
+        g["q"], inner, g["k"], values = np.split(p["embed"].T @ by_class + p["place"].T @ by_place, (WIDTH, WIDTH + HIDDEN, 2 * WIDTH + HIDDEN), axis=1)
         g["q"] = g["q"] * scale
-        de = de + d @ project.T
-        g["place"] = de.reshape(*x.shape, WIDTH).sum(axis=0)
-        cells = x.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["embed"] = np.bincount(cells.ravel(), de.ravel(), SIZES["embed"])
-        return loss, np.concatenate([g[n].ravel() for n in NAMES]).astype(np.float32)
+        g["v"], g["mix"], g["bias"] = values @ mix.T, np.concatenate((p["v"].T @ values, inner)), dh.sum(axis=0)
+        return loss, np.concatenate([g[n].ravel() for n in NAMES]).astype(np.float32, copy=False)
 
 
 def fit(flat: np.ndarray, bigram: np.ndarray, blocks: Iterator[tuple[np.ndarray, ...]], least: int, rng: np.random.Generator, batch: int = 64, rate: float = 0.01) -> tuple[np.ndarray, int]:
@@ -199,7 +254,7 @@ def fit(flat: np.ndarray, bigram: np.ndarray, blocks: Iterator[tuple[np.ndarray,
     def step(x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> None:
         nonlocal flat, m, v, k
         k += 1
-        _, g = Model(flat, bigram).gradient(x.astype(np.int64), y.astype(np.int64), scored)
+        _, g = Model(flat, bigram).gradient(x, y, scored)
         m, v = 0.9 * m + 0.1 * g, 0.98 * v + 0.02 * g * g
         lr = rate * min(1, k / 20) * max(0.05, (1 + k / 60) ** -0.5)
         flat -= (lr * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-8)).astype(np.float32)

@@ -1,5 +1,8 @@
 """LM scoring: a causal self-attention model over subword ids, trained and applied in Spark tasks with numpy.
 
+Every text is split and encoded once; its ids are written to the shared folder and all later passes read them. A word's
+key is a 64-bit hash of its ids, which tell it exactly.
+
 Learning, from all training documents:
 
 * word counts, counts of the tokenizer's ids and (the classes then fixed) bigrams of id classes: summed in tasks, then by
@@ -24,13 +27,15 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,12 +50,15 @@ MIXED = 0.7
 #: A task takes a step for each BATCH of the windows of a round, and where these are few, STEPS steps at least.
 ROUNDS, STEPS, BATCH = 2, 120, 64
 SMOOTH = 20.0
-#: Distinct words a task remembers, and words it handles at a time.
+#: Distinct words a task remembers; bytes of texts it encodes at a time, and ids it handles at a time (one text at least).
 REMEMBERED = 250_000
-BLOCK = 100_000
+BYTES = 8 << 20
+BLOCK = 250_000
 #: Words given to the tokenizer at a time.
 JOINED = 10_000
 TINY = 64
+#: Bits of a key that name its cell among the frequent words.
+CELLS = 18
 
 
 def words(text: str) -> list[bytes]:
@@ -85,18 +93,26 @@ class Ids:
         return np.concatenate(flat), np.concatenate(size)
 
 
+#: A Python worker loads a vocabulary once.
+known_ids = cache(Ids)
+
+
+def stored_as(n_ids: int) -> np.dtype:
+    """How ids are written."""
+    return np.dtype("<u2" if n_ids <= 1 << 16 else "<i4")
+
+
 class Vocabulary(dict):
     """Words of a task -> their numbers; what is known of each word stands in arrays."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.known = Ids(path)
+        self.known = known_ids(path)
         self.reset()
 
     def reset(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.hash = np.zeros(0, np.uint64)
         self.size, self.at, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def __missing__(self, word: bytes) -> int:
@@ -111,7 +127,6 @@ class Vocabulary(dict):
             self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.ids = np.concatenate((self.ids, got))
-            self.hash = np.concatenate((self.hash, np.fromiter(map(xxhash.xxh64_intdigest, self.new), np.uint64, len(size))))
             self.new = []
         return out
 
@@ -121,26 +136,100 @@ class Vocabulary(dict):
         return self.ids[np.arange(int(n.sum())) + np.repeat(self.at[numbers] - (np.cumsum(n) - n), n)]
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[list[bytes]]]]:
-    """Rows with their words, about BLOCK words at a time."""
-    for batch in batches:
-        begin, size, held = 0, 0, []
-        for i, text in enumerate(batch["text"]):
-            held.append(words(text))
-            size += len(held[-1])
-            if size >= BLOCK:
-                yield batch.iloc[begin : i + 1], held
-                begin, size, held = i + 1, 0, []
-        if held:
-            yield batch.iloc[begin:], held
+def parted(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """The words of texts in a row, and how many each has; the rule of ``words``."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    full = pc.binary_length(found).to_numpy() > 0  # there are empty ones at the edges of texts
+    if not full.all():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full], minlength=len(n))
+        found = found.filter(pa.array(full))
+    return found, n
+
+
+def encoded(v: Vocabulary, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of texts in a row, and how many ids and how many words each has."""
+    if len(v) > REMEMBERED:
+        v.reset()
+    found, n_words = parted(texts)
+    coded = found.dictionary_encode()
+    numbers = v.numbers([coded.dictionary.cast(pa.binary()).to_pylist()])[coded.indices.to_numpy()]
+    size = np.concatenate(([0], np.cumsum(v.size[numbers])))
+    to = np.cumsum(n_words)
+    return v.spelled(numbers), size[to] - size[to - n_words], n_words
 
 
-def sequences(vocabulary: Vocabulary, numbers: np.ndarray, n_words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in groups of about BYTES of text: batches of short texts together, those of long texts in parts."""
+    held, size = [], 0
+    for batch in batches:
+        at = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(at, (at[begin - 1] if begin else 0) + BYTES - size, "right")))
+            held.append(batch.slice(begin, end - begin))
+            size += int(at[end - 1] - (at[begin - 1] if begin else 0))
+            begin = end
+            if begin < len(at) or size >= BYTES:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+_ENCODED = "doc_id long, held_out boolean, h long, n_words long, ids binary"
+
+
+def _encoder(path: str):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(path)
+        kind = stored_as(v.known.n)
+        for rows in _grouped(batches):
+            rows = rows.combine_chunks()
+            ids, n_ids, n_words = encoded(v, rows.column("text").chunk(0))
+            offsets = np.concatenate(([0], np.cumsum(n_ids * kind.itemsize))).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(n_ids), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind))])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c).chunk(0) for c in ("doc_id", "held_out", "h")), pa.array(n_words.astype(np.int64)), binary], ["doc_id", "held_out", "h", "n_words", "ids"])
+
+    return encode
+
+
+def _blocks(batches: Iterator[pd.DataFrame], n_ids: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Rows, their ids in a row and how many each has, about BLOCK ids at a time."""
+    kind = stored_as(n_ids)
+    for batch in batches:
+        size = np.fromiter(map(len, batch["ids"]), np.int64, len(batch)) // kind.itemsize
+        at, begin = np.cumsum(size), 0
+        while begin < len(at):
+            end = max(begin + 1, int(np.searchsorted(at, (at[begin - 1] if begin else 0) + BLOCK, "right")))
+            rows = batch.iloc[begin:end]
+            yield rows, np.frombuffer(b"".join(rows["ids"]), kind), size[begin:end]
+            begin = end
+
+
+class Keys:
+    """Keys of words from their ids: sums of random numbers of the ids, each times an odd number of its place."""
+
+    def __init__(self, n_ids: int):
+        self.of_id = np.append(np.random.default_rng(97).integers(0, 1 << 64, n_ids, np.uint64), np.uint64(0))
+        self.of_place = np.ones(1, np.uint64)
+
+    def of(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The key of the ids from each ``first`` to before the next; an id of -1 adds nothing."""
+        size = np.diff(first, append=len(ids))
+        if len(size) and size.max() > len(self.of_place):
+            odd = np.full(2 * int(size.max()), 0x9E3779B97F4A7C15, np.uint64)
+            odd[0] = 1
+            self.of_place = np.cumprod(odd, dtype=np.uint64)
+        run = self.of_id[ids]
+        run *= self.of_place[np.arange(len(ids)) - np.repeat(first, size)]
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(run, dtype=np.uint64)))
+        return run[first + size] - run[first]
+
+
+def with_ends(ids: np.ndarray, n_ids: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes of texts with their ends, ids of each text (the end counted), and the ids at their places (-1: an end)."""
-    ids = vocabulary.spelled(numbers)
-    size = np.concatenate(([0], np.cumsum(vocabulary.size[numbers])))
-    to = np.cumsum(n_words)
-    lens = size[to] - size[to - n_words] + 1
+    lens = n_ids + 1
     places = np.ones(int(lens.sum()), bool)
     places[np.cumsum(lens) - 1] = False
     out, at = np.full(len(places), A.END, np.int16), np.full(len(places), -1, np.int32)
@@ -148,30 +237,43 @@ def sequences(vocabulary: Vocabulary, numbers: np.ndarray, n_words: np.ndarray,
     return out, lens, at
 
 
+def sequences(vocabulary: Vocabulary, numbers: np.ndarray, n_words: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``with_ends`` gives, of texts of numbered words."""
+    size = np.concatenate(([0], np.cumsum(vocabulary.size[numbers])))
+    to = np.cumsum(n_words)
+    return with_ends(vocabulary.spelled(numbers), size[to] - size[to - n_words], classes)
+
+
 #: Kinds of counts.
 WORD, ID = 0, 1
 
 
-def _counter(path: str):
+def _counter(shared):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v, seen = Vocabulary(path), np.zeros(0, np.int64)
-        ids = np.zeros(v.known.n, np.int64)
-
-        def flush() -> pd.DataFrame:
-            np.add.at(ids, v.spelled(np.arange(len(seen))), np.repeat(seen, v.size))
-            out = pd.DataFrame({"kind": WORD, "key": v.hash.view(np.int64), "n": seen})
-            v.reset()
-            return out
-
-        for _, held in _blocks(batches):
-            if len(v) > REMEMBERED:
-                yield flush()
-                seen = np.zeros(0, np.int64)
-            numbers = v.numbers(held)
-            got = np.bincount(numbers, minlength=len(v))
-            got[: len(seen)] += seen
-            seen = got
-        yield flush()
+        starts = shared.value
+        keys, ids = Keys(len(starts)), np.zeros(len(starts), np.int64)
+        held, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]  # keys and their counts, merged when they are many
+
+        def merge() -> None:
+            key = np.concatenate(held)
+            order = np.argsort(key)
+            key = key[order]
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            n = np.add.reduceat(np.concatenate(seen)[order], first) if len(key) else np.zeros(0, np.int64)
+            held[:], seen[:] = [key[first]], [n]
+
+        for _, got, _ in _blocks(batches, len(starts)):
+            ids += np.bincount(got, minlength=len(ids))
+            found, n = np.unique(keys.of(got, np.flatnonzero(starts[got])), return_counts=True)
+            held.append(found)
+            seen.append(n)
+            if sum(map(len, held)) > 4 * REMEMBERED:
+                merge()
+                if len(held[0]) > REMEMBERED:
+                    yield pd.DataFrame({"kind": WORD, "key": held[0].view(np.int64), "n": seen[0]})
+                    held[:], seen[:] = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        merge()
+        yield pd.DataFrame({"kind": WORD, "key": held[0].view(np.int64), "n": seen[0]})
         at = np.flatnonzero(ids)
         yield pd.DataFrame({"kind": ID, "key": at, "n": ids[at]})
 
@@ -179,12 +281,20 @@ def _counter(path: str):
 
 
 def _sequences(path: str, batches: Iterator[pd.DataFrame], classes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    v = Vocabulary(path)
-    for _, held in _blocks(batches):
-        if len(v) > REMEMBERED:
-            v.reset()
-        c, lens, _ = sequences(v, v.numbers(held), np.fromiter(map(len, held), np.int64, len(held)), classes)
-        yield c, lens
+    """Classes of texts with their ends, and how many each has, of rows with ids; texts without are encoded first."""
+    v = None
+
+    def coded() -> Iterator[pd.DataFrame]:
+        nonlocal v
+        for batch in batches:
+            if "ids" not in batch:
+                v = v or Vocabulary(path)
+                ids, n, _ = encoded(v, pa.array(batch["text"], pa.string()))
+                batch = pd.DataFrame({"ids": [x.astype(stored_as(len(classes))).tobytes() for x in np.split(ids, np.cumsum(n)[:-1])]})
+            yield batch
+
+    for _, ids, n in _blocks(coded(), len(classes)):
+        yield with_ends(ids, n, classes)[:2]
 
 
 def _pair_counter(path: str, shared):
@@ -214,8 +324,7 @@ def _trainer(path: str, shared, nth: int):
 
         def blocks() -> Iterator[tuple[np.ndarray, ...]]:
             for c, lens in _sequences(path, batches, classes):
-                x, y, scored = A.windows(c, lens)
-                yield x.astype(np.int16), y.astype(np.int16), scored
+                yield A.windows(c, lens)
 
         flat, n = A.fit(flat, bigram, blocks(), STEPS, rng, BATCH)
         if n:
@@ -227,10 +336,25 @@ def _trainer(path: str, shared, nth: int):
 class Scorer:
     """All that scoring needs; its size does not depend on the corpus."""
 
-    def __init__(self, flat, bigram, classes, start, share, head_hash, head_count, total, distinct, ends):
+    def __init__(self, flat, bigram, classes, start, share, head_key, head_count, total, distinct, ends):
         self.model, self.classes, self.start, self.share = A.Model(flat, bigram), classes, start, share
-        self.head_hash, self.head_count = head_hash, head_count
+        self.head_key, self.head_count = head_key, head_count
         self.total, self.distinct, self.ends = total, distinct, ends
+        self.cells = np.searchsorted(head_key, np.arange(1 << CELLS, dtype=np.uint64) << np.uint64(64 - CELLS))
+        self.cells = np.append(self.cells, len(head_key))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of words by their keys, 0 beyond the head: looked up in the cell of their first bits."""
+        cell = (keys >> np.uint64(64 - CELLS)).astype(np.int64)
+        at, end = self.cells[cell], self.cells[cell + 1]
+        out, open_ = np.zeros(len(keys), np.int64), np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            same = self.head_key[here] == keys[open_]
+            out[open_[same]] = self.head_count[here[same]]
+            at[open_] += 1
+            open_ = open_[~same & (here + 1 < end[open_])]
+        return out
 
     def base(self, count):
         return np.log10((count + 1) / (self.total + self.distinct + 1))
@@ -256,32 +380,25 @@ class Scorer:
 _SCORED = "row long, doc_id long, held_out boolean, n_words long, head_known long, head_base double, head_score double, tail array<long>, tail_lp array<double>"
 
 
-def _scorer(path: str, shared):
+def _scorer(shared):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         A.keep_pages()
         s: Scorer = shared.value
-        v, counts = Vocabulary(path), np.zeros(0, np.int64)
-        for rows, held in _blocks(batches):
-            if len(v) > REMEMBERED:
-                v.reset()
-                counts = counts[:0]
-            numbers = v.numbers(held)
-            if len(counts) < len(v.hash):
-                new = v.hash[len(counts) :]
-                at = np.minimum(np.searchsorted(s.head_hash, new), max(len(s.head_hash) - 1, 0))
-                counts = np.concatenate((counts, np.where(s.head_hash[at] == new, s.head_count[at], 0) if len(s.head_hash) else np.zeros(len(new), np.int64)))
-            n_words = np.fromiter(map(len, held), np.int64, len(held))
-            c, lens, ids = sequences(v, numbers, n_words, s.classes)
+        keys, share = Keys(len(s.classes)), np.append(s.share, 0.0)  # an end is alone in its class
+        for rows, ids, n_ids in _blocks(batches, len(s.classes)):
+            n_words = rows["n_words"].to_numpy()
+            c, lens, at = with_ends(ids, n_ids, s.classes)
             lp, ls = s.places(c, lens)
-            lp += np.where(ids >= 0, s.share[ids], 0.0)
+            lp += share[at]
             # a word: its ids given that a word starts, then that another word (or the end) does
-            first_id = np.cumsum(v.size[numbers]) - v.size[numbers] + np.repeat(np.arange(len(held)), n_words)
-            run = np.concatenate(([0.0], np.cumsum(lp)))
-            end = first_id + v.size[numbers]
-            of_word = (run[end] - run[first_id] - ls[first_id] + ls[end]) / math.log(10)
+            first = np.flatnonzero(c >= s.start)
+            word = c[first] != A.END
+            run, end = np.concatenate(([0.0], np.cumsum(lp))), np.append(first[1:], len(c))[word]
+            key, first = keys.of(at, first)[word], first[word]
+            of_word = (run[end] - run[first] - ls[first] + ls[end]) / math.log(10)
             last = np.cumsum(lens) - 1
             of_end = (lp[last] - ls[last]) / math.log(10)
-            count = counts[numbers]
+            count = s.counts(key)
             head = count > 0
             mixed = np.where(head, mean(of_word, s.base(count)), 0.0)
             to = np.cumsum(n_words)
@@ -289,7 +406,7 @@ def _scorer(path: str, shared):
             end_known = int(s.ends > 0)
             end_score = mean(of_end, s.base(s.ends))
             tail = np.concatenate(([0], np.cumsum(~head)))
-            hashes, tail_lp = v.hash[numbers[~head]].view(np.int64), of_word[~head]
+            hashes, tail_lp = key[~head].view(np.int64), of_word[~head]
             yield pd.DataFrame({
                 "row": rows["row"].to_numpy(), "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_words": n_words,
                 "head_known": total(head).round().astype(np.int64) + end_known, "head_base": total(np.where(head, s.base(count), 0.0)) + s.base(s.ends), "head_score": total(mixed) + end_score,
@@ -322,12 +439,14 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     """Learn from the rows where ``held_out`` is false, score all rows (null ``held_out``: scored only)."""
     common.bounded_batches(docs.sparkSession)
     spark, path = docs.sparkSession, tokenizer or public_tokenizers.path(TOKENIZER)
-    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    training = d.where("NOT held_out").select("text", F.xxhash64("doc_id", F.lit("lm")).alias("h"))
-    n_train = training.count()
-    known = Ids(path)
+    known = known_ids(path)
     n_ids, starts = known.n, known.starts
-    counts = training.select("text").mapInPandas(_counter(path), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    d = docs.select(docs[doc_id].cast("long").alias("doc_id"), held_out.alias("held_out"), F.xxhash64(docs[doc_id].cast("long"), F.lit("lm")).alias("h"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
+    d = common.stored(d.mapInArrow(_encoder(path), _ENCODED), "lm-ids")
+    training = d.where("NOT held_out").select("ids", "h")
+    n_train = training.count()
+    shared = spark.sparkContext.broadcast(starts)
+    counts = training.select("ids").mapInPandas(_counter(shared), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
     counts = common.stored(counts, "lm-counts")
     frequent = counts.where(F.col("kind") == WORD).select("key", "n")
     total, distinct = frequent.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -338,7 +457,7 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     classes, start = A.class_map(seen, starts)
     ids = seen + 0.5
     shared = spark.sparkContext.broadcast(classes)
-    for r in training.select("text").mapInPandas(_pair_counter(path, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
+    for r in training.select("ids").mapInPandas(_pair_counter(path, shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
         pairs[r["key"]] = r["n"]
     share = np.log(ids / np.bincount(classes, weights=ids, minlength=A.CLASSES)[classes])
     pairs = pairs.reshape(A.CLASSES + 1, A.CLASSES)
@@ -348,15 +467,15 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     flat = A.initial()
     for nth in range(ROUNDS):
         shared = spark.sparkContext.broadcast((flat, bigram, classes))
-        got = of_round(training, nth).select("text").mapInPandas(_trainer(path, shared, nth), "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
+        got = of_round(training, nth).select("ids").mapInPandas(_trainer(path, shared, nth), "place int, value double, weight double").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).collect()
         for r in got:  # PARAMETERS rows
             flat[r["place"]] = r["value"]
     head = frequent.where(F.col("n") >= least_frequent(frequent)).toPandas()  # HEAD rows at most
     order = np.argsort(head["key"].to_numpy(np.int64).view(np.uint64))
     scorer = Scorer(flat, bigram, classes, start, share, head["key"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order], total, distinct, n_train)
     shared = spark.sparkContext.broadcast(scorer)
-    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
-    scored = common.stored(rows.mapInPandas(_scorer(path, shared), _SCORED), "lm-scored")
+    rows = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("held_out", F.lit(False)).alias("held_out"), "n_words", "ids")
+    scored = common.stored(rows.mapInPandas(_scorer(shared), _SCORED), "lm-scored")
     # words beyond the head
     tail = scored.select("row", F.explode(F.arrays_zip("tail", "tail_lp")).alias("z")).select("row", F.col("z.tail").alias("key"), F.col("z.tail_lp").alias("lp"))
     n = F.coalesce("n", F.lit(0))
